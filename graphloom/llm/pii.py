@@ -24,16 +24,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-SECRET = r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"'])[A-Za-z0-9/+_.-]{8,200}(?=[\"'])|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
+EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+SECRET = r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"'])[A-Za-z0-9/+_.-]{8,200}(?=[\"'])|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\w.])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?!\w)"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 NUMBER = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
 PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, DATE, IP, NUMBER, PHONE))
-#: Without one of these a text holds none of the above; this test is cheap.
-HINT = r"@|\d[ .()/-]?\d[ .()/-]{0,2}\d|(?:token|secret|passw|api_?key|access_key)|AKIA"
+#: Every value starts where no letter or digit stands before it, so most places fail at the first test.
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join((EMAIL, SECRET, IBAN, f"(?=[0-9+(])(?:{DATE}|{IP}|{NUMBER}|{PHONE})")) + ")"
+#: Without one of these a text holds none of the above; these tests are cheap.
+SOME_DIGITS = r"\d\D{0,3}\d\D{0,3}\d"
+NAMING = r"(?:token|secret|passw|api_?key|access_key) {0,2}[=:]"
+
+
+def may_hold(text: Column) -> Column:
+    quoted = (F.contains(text, F.lit('"')) | F.contains(text, F.lit("'"))) & F.rlike(text, F.lit(NAMING))
+    return F.contains(text, F.lit("@")) | F.rlike(text, F.lit(SOME_DIGITS)) | F.contains(text, F.lit("AKIA")) | quoted
+
+
 ALL_DAYS = 146097
 FIRST_DAY = "1800-01-01"
 
@@ -190,7 +199,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str
     out_col = out_col or text_col
     text = F.col(text_col)
     # Where a text holds no candidate the arrays are not built.
-    has = F.rlike(text, F.lit(HINT))
+    has = may_hold(text)
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     some = docs.withColumn("_found", found)
     new = F.transform("_found", lambda v: pseudonym(v, key))
