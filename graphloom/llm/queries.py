@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, pii, product_quantisation, quality, token_files, toxicity
+from . import bpe, decontamination, langid, minhash, pii, product_quantisation, quality, suffix_dedup, token_files, toxicity
 from .common import docs_of, held_out
 
 #: The key of the PII pseudonyms in tests and queries; a deployment passes its own.
@@ -18,6 +18,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(docs_of(spark, sf_dir), 400)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_quantisation.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,6 +66,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_embedding_near_dedup, op4_toxicity, op5_quality, op6_minhash_near_dedup, op7_byte_bpe, op8_pii, op9_language_id, op10_token_files)
+    f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_embedding_near_dedup, op4_toxicity, op5_quality, op6_minhash_near_dedup, op7_byte_bpe, op8_pii, op9_language_id, op10_token_files)
 }
 ORACLE_SQL: dict[str, str] = {}
