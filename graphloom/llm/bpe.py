@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 #: Most chunks and most pre-tokens that a worker keeps with their ids; those seen first stay, and others are encoded each time.
 CACHE = 500_000
 #: A blank with white space on both sides: only there the cut before a blank could change pre-tokens.
+_BLANKS = re.compile(r" (?:\s|\Z)")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -111,22 +112,21 @@ class ByteBpe:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _UNSAFE.search(text):
+        if _BLANKS.search(text) and _UNSAFE.search(text):
             return self._exact(text)
         first, *rest = text.split(" ")  # each later part stands for itself behind one blank
         head = self._exact(first)
-        try:
-            return head + b"".join(map(self.spaced.__getitem__, rest))
-        except KeyError:
-            new = list(set(rest).difference(self.spaced))
+        found = [*map(self.spaced.get, rest)]
+        if None not in found:
+            return head + b"".join(found)
+        new = list({w for w, ids in zip(rest, found) if ids is None})
         cut = [self.split(" " + w) for w in new]
         own = self._ids({p for c in cut for p in c}.difference(self.token))
-        token = self.token
-        made = {w: b"".join([token[p] if p in token else own[p] for p in c]) for w, c in zip(new, cut)}
-        if len(self.spaced) < CACHE:
-            self.spaced.update(made)
-            return head + b"".join(map(self.spaced.__getitem__, rest))
-        return head + b"".join([made[w] if w in made else self.spaced[w] for w in rest])
+        kept = self.token.get
+        made = {w: b"".join([kept(p) or own[p] for p in c]) for w, c in zip(new, cut)}
+        if len(self.spaced) < CACHE:  # chunks with a line end hardly come again
+            self.spaced.update((w, x) for w, x in made.items() if "\n" not in w)
+        return head + b"".join([ids or made[w] for w, ids in zip(rest, found)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, array("I", ids)))

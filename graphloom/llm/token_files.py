@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 
-#: Most chunks that a worker keeps with their ids; those seen first stay, and others are encoded each time.
-CACHE = 800_000
+#: Most chunks, and most pieces of chunks, that a worker keeps with their ids; those seen first stay, and others are encoded each time.
+CACHE = 500_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+_BLANKS = re.compile(r" (?:\s|\Z)")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -47,30 +48,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.piece: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _pieces(chunk: str) -> tuple[str, ...]:
+        """A chunk behind its blank as pieces that no pre-token spans: letters, closing marks, single line ends; else itself."""
+        out: list[str] = []
+        for k, line in enumerate(chunk.split("\n")):
+            core = line.rstrip(".,!?;:")
+            if not core.isalpha():
+                return (" " + chunk,)
+            if k:
+                out.append("\n")
+            out.append(core if k else " " + core)
+            if core != line:
+                out.append(line[len(core) :])
+        return tuple(out)
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks; pieces stay in the cache while there is room, and so do chunks without a line end, which may come again."""
+        cut = {w: self._pieces(w) for w in chunks}
+        new = list({p for x in cut.values() for p in x}.difference(self.piece))
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        flat, at, own = array("I", [i for x in ids for i in x]).tobytes(), 0, {}
+        for p, x in zip(new, ids):
+            own[p] = flat[at : (at := at + 4 * len(x))]
+        if len(self.piece) < CACHE:
+            self.piece.update(own)
+        kept = self.piece.get
+        made = {w: b"".join([kept(p) or own[p] for p in x]) for w, x in cut.items()}
+        if len(self.cache) < CACHE:
+            self.cache.update((w, x) for w, x in made.items() if "\n" not in w)
+        return made
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _UNSAFE.search(text):
+        if _BLANKS.search(text) and _UNSAFE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
         head = self._whole(first)
-        try:
-            return head + b"".join(map(self.cache.__getitem__, rest))
-        except KeyError:
-            new = list(set(rest).difference(self.cache))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        flat, at, made = array("I", [i for x in ids for i in x]).tobytes(), 0, {}
-        for w, x in zip(new, ids):
-            made[w] = flat[at : (at := at + 4 * len(x))]
-        if len(self.cache) < CACHE:
-            self.cache.update(made)
-            return head + b"".join(map(self.cache.__getitem__, rest))
-        return head + b"".join([made[w] if w in made else self.cache[w] for w in rest])
+        found = [*map(self.cache.get, rest)]
+        if None in found:
+            made = self._learn({w for w, ids in zip(rest, found) if ids is None})
+            found = [ids or made[w] for w, ids in zip(rest, found)]
+        return head + b"".join(found)
 
 
 _LOADED: dict[str, Encoder] = {}
