@@ -150,16 +150,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("id").reset_index(drop=True)
-        m, c, x, n, ids = _matrix(g["sketch"].tolist(), k), g["c"].to_numpy(), g["x"].to_numpy(), g["n"].to_numpy(), g["id"].to_numpy()
-        one_block = g["p"].iat[0] == g["q"].iat[0]
-        out = []
-        for i in range(len(g)):
-            other = np.arange(i + 1, len(g)) if one_block else np.flatnonzero(x > x[i]) if x[i] == g["p"].iat[0] else np.empty(0, int)
-            other = other[(c[other] != c[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-            if len(other):
-                hit = other[estimate(np.repeat(m[i : i + 1], len(other), 0), m[other]) >= least]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in hit]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        c, x, n, ids = g["c"].to_numpy(), g["x"].to_numpy(), g["n"].to_numpy(), g["id"].to_numpy()
+        wanted = c[:, None] != c[None, :]
+        if not wanted.any():
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        wanted &= np.triu(np.ones_like(wanted), 1) if g["p"].iat[0] == g["q"].iat[0] else (x[:, None] < x[None, :])
+        large = np.maximum(n[:, None], n[None, :])
+        wanted &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * large
+        # Values that two sketches share, by products of 0/1 matrices over the values that occur twice in the block.
+        m = _matrix(g["sketch"].tolist(), k)
+        row, col = np.nonzero(m != np.uint64(2**64 - 1))
+        _, value, count = np.unique(m[row, col], return_inverse=True, return_counts=True)
+        often = count[value] > 1
+        row, value = row[often], np.unique(value[often], return_inverse=True)[1]
+        common = np.zeros((len(g), len(g)), np.float32)
+        for lo in range(0, int(value.max(initial=-1)) + 1, 4096):
+            mine = (value >= lo) & (value < lo + 4096)
+            held = np.zeros((len(g), 4096), np.float32)
+            held[row[mine], value[mine] - lo] = 1
+            common += held @ held.T
+        i, j = np.nonzero(wanted & (common >= least * np.minimum(k, large)))
+        good = [estimate(m[i[lo : lo + 20_000]], m[j[lo : lo + 20_000]]) >= least for lo in range(0, len(i), 20_000)]
+        good = np.concatenate(good) if good else np.empty(0, bool)
+        a, b = ids[i[good]], ids[j[good]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
 
     rest = dealt.groupBy("v", "p", "q").applyInPandas(compare, "a long, b long").distinct()
     last = _verified(rest, docs, words, percent, id_col, text_col)
