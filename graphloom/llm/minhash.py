@@ -1,11 +1,11 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set holds the hashes of its distinct word shingles; its sketch holds the k smallest. Documents of equal
-sets are one class with the smallest id as its representative. Two sets of Jaccard similarity 0.8 share, but for a chance
-below 1e-8, at least half of their sketches' values, so of a sketch only the rarest values beyond that half go into
-inverted lists: boilerplate that fills less than half of a document never brings it into a list. Lists link members to
-one leader, components form, and only members of different components are compared further, in blocks. Pairs pass an estimate
-on the union's sketch, then the exact similarity of the full sets decides.
+sets are one class with the smallest id as its representative. The number of values that the sketches of two similar sets share is hypergeometric, so it has a floor that it
+misses with a chance below 1e-8 (``floors``; none where the sets fit into their sketches). Of a sketch only the rarest values
+beyond that floor go into inverted lists: boilerplate that fills less of a document never brings it into a list. Lists link
+members to one leader, components form, and only members of different components are compared further, in blocks. Pairs pass an
+estimate on the union's sketch, then the exact similarity of the full sets decides.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; texts with fewer words than a
 shingle are one shingle as a whole; repeated ids stand for one document each time; an empty table gives no rows; other
@@ -25,9 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-K = 64
+K = 128
 #: Members of a list that are compared with each other at once; longer lists are dealt out as pairs of blocks.
 BLOCK = 1000
+#: Lists up to this size are compared together, about so many rows at once.
+SMALL, BIN = 64, 128
+#: The chance that a similar pair shares fewer sketch values than its floor, and the set size from which the binomial bound holds.
+MISS, TABLE = 1e-8, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -50,19 +54,43 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fp, sketch): size of the set, a 128-bit digest of it, and its k smallest hashes in ascending order as signed longs."""
+def floors(k: int, percent: int) -> np.ndarray:
+    """By set size (the last holds for all larger ones): the fewest of the union's k smallest values that a similar pair shares.
+
+    For a union of u values, percent * u / 100 of them common, the common ones among its k smallest are hypergeometric. A set of n
+    values meets unions of n to 100 * n / percent, so its floor is the least over these. Unions within k have no chance in them.
+    """
+    top = 100 * TABLE // percent + 1
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
+    quantile = np.zeros(top + 1, np.int64)
+    for u in range(1, top + 1):
+        both = -(-percent * u // 100)
+        quantile[u] = both
+        if u > k:
+            x = np.arange(max(0, k - (u - both)), min(k, both) + 1)
+            chance = log[both] - log[x] - log[both - x] + log[u - both] - log[k - x] - log[u - both - k + x] - (log[u] - log[k] - log[u - k])
+            quantile[u] = x[np.searchsorted(np.cumsum(np.exp(chance)), MISS, "right")]
+    out = np.array([quantile[n : 100 * n // percent + 1].min() for n in range(TABLE + 1)])
+    x, p = np.arange(k + 1), percent / 100
+    binomial = log[k] - log[x] - log[k - x] + x * np.log(p) + (k - x) * np.log1p(-p) if p < 1 else np.where(x == k, 0.0, -np.inf)
+    out[-1] = np.searchsorted(np.cumsum(np.exp(binomial)), MISS, "right")
+    return np.maximum(out, 1)
+
+
+def sketches(docs: DataFrame, words: int, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, t, fp, sketch): size of the set, its floor, a 128-bit digest of it, and its k smallest hashes in ascending order as signed longs."""
+    floor = floors(k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             cut = [s[:k].astype(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, cut)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *cut])))],
-                names=["id", "n", "fp", "sketch"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([floor[min(len(s), TABLE)] for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, cut)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *cut])))],
+                names=["id", "n", "t", "fp", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, fp binary, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, t long, fp binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -76,17 +104,19 @@ def full_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, s array<long>")
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of two padded sketch matrices (uint64, padding is the largest value): the share of the union's bottom k that both hold."""
+def estimate(a: np.ndarray, b: np.ndarray, whole: np.ndarray, floor: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of two padded sketch matrices (uint64, padding is the largest value): can the pair be similar?
+
+    Sketches that are whole sets give their similarity; others must share ``floor`` of their union's k smallest values.
+    """
     k = a.shape[1]
     both = np.sort(np.hstack([a, b]), axis=1)
     top = np.uint64(2**64 - 1)
     same = np.zeros(both.shape, bool)
     same[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
-    real = both != top
-    rank = np.cumsum(real & ~same, axis=1)
-    inside = real & (rank <= k)
-    return (same & inside).sum(1) / np.maximum(1, np.minimum(rank[:, -1], k))
+    rank = np.cumsum((both != top) & ~same, axis=1)
+    exact = 100 * same.sum(1) >= percent * rank[:, -1]
+    return np.where(whole, exact, (same & (rank <= k)).sum(1) >= floor)
 
 
 def _matrix(column: list, k: int) -> np.ndarray:
@@ -96,17 +126,20 @@ def _matrix(column: list, k: int) -> np.ndarray:
     return out
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs (a, b) whose sketches let them reach ``least``."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches let them be similar."""
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("t").alias(f"t_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = estimate(_matrix(batch.column(2).to_pylist(), k), _matrix(batch.column(3).to_pylist(), k)) >= least if batch.num_rows else []
+            ok = []
+            if batch.num_rows:
+                whole, floor = batch.column(4).to_numpy() <= k, batch.column(5).to_numpy()
+                ok = estimate(_matrix(batch.column(2).to_pylist(), k), _matrix(batch.column(3).to_pylist(), k), whole, floor, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return sized.select("a", "b", "s_a", "s_b", F.greatest("n_a", "n_b"), F.greatest("t_a", "t_b")).mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -122,35 +155,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, star_rounds: int = 2) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links), kept (is its component's smallest)."""
-    sk = written(sketches(docs, words, k, id_col, text_col), "sketches")
+    sk = written(sketches(docs, words, k, percent, id_col, text_col), "sketches")
     classes = sk.where("n > 0").groupBy("n", "fp").agg(F.min("id").alias("rep"))
-    reps = written(sk.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "reps")
-    half = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(k)) * (percent - 30) / 100))
-    values = reps.select("id", half.alias("t"), F.explode("sketch").alias("v"))
+    reps = written(sk.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "t", "sketch"), "reps")
+    values = reps.select("id", "t", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     by_rarity = Window.partitionBy("id").orderBy("df", "v")
     ranked = values.join(shared, "v").select("id", "v", "t", F.row_number().over(by_rarity).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m"))
-    lists = written(ranked.where("m >= t AND r <= m - t + 1").select("v", "id"), "lists")
-    least = (percent - 30) / 100
-    edges, comp, tried = None, None, None
-    for _ in range(star_rounds):
-        mine = lists.withColumn("c", F.col("id")) if comp is None else lists.join(comp, "id", "left").select("v", "id", F.coalesce("component_id", "id").alias("c"))
-        # A list's leader is its least member in the order of (component, id); members of other components are paired with it.
-        lead = mine.groupBy("v").agg(F.min(F.struct("c", "id")).alias("l"), F.max("c").alias("top")).where("l.c <> top").select("v", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
-        stars = mine.join(lead, "v").where("c <> ca").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-        good = _verified(_estimated(stars, reps, k, least), docs, words, percent, id_col, text_col)
+    lists = written(ranked.where("m >= t AND r <= m - t + 1").select("v", "id", (F.col("m") - F.col("t")).alias("spare")), "lists")
+    edges, comp = None, None
+    for turn in range(star_rounds):
+        mine = lists.withColumn("c", F.col("id")) if comp is None else lists.join(comp, "id", "left").select("v", "id", "spare", F.coalesce("component_id", "id").alias("c"))
+        # A list's leader is first the member that shares most values with others, later one by hash; members of other components are paired with it.
+        order = [F.xxhash64("id", F.lit(turn))] if turn else [-F.col("spare")]
+        lead = mine.groupBy("v").agg(F.min(F.struct(*order, "id", "c")).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
+        stars = mine.join(lead, "v").where("c <> ca").groupBy(F.col("id").alias("b"), "a").agg(F.lit(1)).select("a", "b")
+        good = _verified(_estimated(stars, reps, k, percent), docs, words, percent, id_col, text_col)
         edges = good if edges is None else written(edges.unionByName(good), "links")
         comp = components(edges)
-    # What is left: members of one list in different components, compared in pairs of blocks.
+    # What is left: members of one list in different components, compared in pairs of blocks; small lists together in bins.
     mine = lists.join(comp, "id", "left").select("v", "id", F.coalesce("component_id", "id").alias("c"))
-    mixed = mine.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    mixed = written(mine.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v", "size"), "mixed")
+    bins = 1 + (mixed.where(F.col("size") <= SMALL).agg(F.sum("size")).first()[0] or 0) // BIN
     part = mine.join(mixed, "v").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("x", (F.xxhash64("id") % F.col("blocks") + F.col("blocks")).cast("int") % F.col("blocks"))
-    dealt = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), (F.col("x") > F.col("y")).alias("second"), "x", "id", "c")
+    part = part.withColumn("v", F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("v"), F.lit(bins))).otherwise(F.col("v")))
+    dealt = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "id", "c").distinct()
     dealt = written(dealt.join(reps, "id"), "blocks")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("id").reset_index(drop=True)
-        c, x, n, ids = g["c"].to_numpy(), g["x"].to_numpy(), g["n"].to_numpy(), g["id"].to_numpy()
+        c, x, n, t, ids = (g[name].to_numpy() for name in ("c", "x", "n", "t", "id"))
         wanted = c[:, None] != c[None, :]
         if not wanted.any():
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -169,8 +203,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             held = np.zeros((len(g), 4096), np.float32)
             held[row[mine], value[mine] - lo] = 1
             common += held @ held.T
-        i, j = np.nonzero(wanted & (common >= least * np.minimum(k, large)))
-        good = [estimate(m[i[lo : lo + 20_000]], m[j[lo : lo + 20_000]]) >= least for lo in range(0, len(i), 20_000)]
+        floor = np.maximum(t[:, None], t[None, :])
+        i, j = np.nonzero(wanted & (common >= floor))
+        good = [estimate(m[y], m[z], large[y, z] <= k, floor[y, z], percent) for y, z in ((i[lo : lo + 20_000], j[lo : lo + 20_000]) for lo in range(0, len(i), 20_000))]
         good = np.concatenate(good) if good else np.empty(0, bool)
         a, b = ids[i[good]], ids[j[good]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
