@@ -126,6 +126,13 @@ def _matrix(column: list, k: int) -> np.ndarray:
     return out
 
 
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row of two padded matrices of distinct values: the smallest value that both hold, or the padding."""
+    both = np.sort(np.hstack([a, b]), axis=1)
+    top = np.uint64(2**64 - 1)
+    return np.where(both[:, 1:] == both[:, :-1], both[:, 1:], top).min(axis=1, initial=top)
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches let them be similar."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("t").alias(f"t_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -180,7 +187,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     part = mine.join(mixed, "v").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("x", (F.xxhash64("id") % F.col("blocks") + F.col("blocks")).cast("int") % F.col("blocks"))
     part = part.withColumn("v", F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("v"), F.lit(bins))).otherwise(F.col("v")))
     dealt = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "id", "c").distinct()
-    dealt = written(dealt.join(reps, "id"), "blocks")
+    keys = part.groupBy("id").agg(F.sort_array(F.collect_set("v")).alias("keys"))  # a sketch's values at most
+    dealt = written(dealt.join(reps, "id").join(keys, "id"), "blocks")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("id").reset_index(drop=True)
@@ -205,12 +213,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             common += held @ held.T
         floor = np.maximum(t[:, None], t[None, :])
         i, j = np.nonzero(wanted & (common >= floor))
+        # A pair that meets in several lists belongs to the first of them.
+        held = _matrix(g["keys"].tolist(), max(map(len, g["keys"])))
+        here = np.array([g["v"].iat[0]], np.int64).astype(np.uint64)[0]
+        mine = [_first_common(held[i[lo : lo + 20_000]], held[j[lo : lo + 20_000]]) == here for lo in range(0, len(i), 20_000)]
+        mine = np.concatenate(mine) if mine else np.empty(0, bool)
+        i, j = i[mine], j[mine]
         good = [estimate(m[y], m[z], large[y, z] <= k, floor[y, z], percent) for y, z in ((i[lo : lo + 20_000], j[lo : lo + 20_000]) for lo in range(0, len(i), 20_000))]
         good = np.concatenate(good) if good else np.empty(0, bool)
         a, b = ids[i[good]], ids[j[good]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
 
-    rest = dealt.groupBy("v", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    rest = dealt.groupBy("v", "p", "q").applyInPandas(compare, "a long, b long")
     last = _verified(rest, docs, words, percent, id_col, text_col)
     comp = components(written(edges.unionByName(last), "links"))
     rep_of = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n", "fp", F.coalesce("component_id", "rep").alias("root"))
