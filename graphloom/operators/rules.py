@@ -29,15 +29,23 @@ RULES = (
     Rule("compares_with.alias_in_comparison_sentence.v1", "COMPARES_WITH", ("method",), "compare", False, 0.65),
 )
 
+#: First words of aliases that are read to the driver at most.
+FEW = 500
+
 
 def term_matches(texts: DataFrame, aliases: DataFrame, text_col: str = "text") -> DataFrame:
     """texts (with columns kept) joined with aliases (entity, alias) on whole-term occurrence.
 
     The join is on the alias's first word, so it deals out by key instead of pairing every text with every alias; the exact test follows.
-    Aliases without a word character are matched against all texts as a small side of their own.
+    Aliases without a word character are matched against all texts as a small side of their own. Up to FEW different first words
+    are read at once, so that a text is only repeated for those it holds; with more, it is repeated for each of its words.
     """
     keyed = aliases.withColumn("_k", F.regexp_extract(F.lower("alias"), r"([a-z0-9_]+)", 1))
-    words = texts.withColumn("_k", F.explode(F.array_append(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9_]+"), 0)), "")))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9_]+"), 0))
+    first = [r[0] for r in keyed.select("_k").where("_k IS NOT NULL").distinct().limit(FEW + 1).collect()]
+    if len(first) <= FEW:
+        found = F.array_intersect(found, F.array(*map(F.lit, first)).cast("array<string>"))
+    words = texts.withColumn("_k", F.explode(F.array_union(found, F.array(F.lit("")))))
     return words.join(keyed, "_k").where(T.matches(F.col(text_col), F.col("alias"))).drop("_k")
 
 
