@@ -25,11 +25,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files when it ends; a write's own plan is never run again, so nothing can miss them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    """Write as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are removed at its end; without that, they stay until the driver collects garbage.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
