@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave, once all that was made from it is written itself."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path that fresh_path gave and that no reader needs any more."""
     jvm = spark.sparkContext._jvm

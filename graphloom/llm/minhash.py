@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, dropped, written
 
 K = 128
 #: Members of a list that are compared with each other at once; longer lists are dealt out as pairs of blocks.
@@ -157,19 +157,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
     sets = written(full_sets(own, words, id_col, text_col), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     common = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("c"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-    return written(common.where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b"), "links")
+    links = written(common.where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b"), "links")
+    dropped(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, star_rounds: int = 2) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links), kept (is its component's smallest)."""
-    sk = written(sketches(docs, words, k, percent, id_col, text_col), "sketches")
-    classes = sk.where("n > 0").groupBy("n", "fp").agg(F.min("id").alias("rep"))
-    reps = written(sk.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "t", "sketch"), "reps")
-    values = reps.select("id", "t", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    whole = written(sketches(docs, words, k, percent, id_col, text_col), "sketches")
+    sk = written(whole.select("id", "n", "fp"), "digests")
+    classes = written(sk.where("n > 0").groupBy("n", "fp").agg(F.min("id").alias("rep")), "classes")
+    reps = written(whole.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "t", "sketch"), "reps")
+    dropped(whole)  # of other documents than representatives only the digest is needed from here on
+    values = reps.select("id", F.explode("sketch").alias("v"))
+    shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     by_rarity = Window.partitionBy("id").orderBy("df", "v")
-    ranked = values.join(shared, "v").select("id", "v", "t", F.row_number().over(by_rarity).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m"))
-    lists = written(ranked.where("m >= t AND r <= m - t + 1").select("v", "id", (F.col("m") - F.col("t")).alias("spare")), "lists")
+    ranked = values.join(shared, "v").select("id", "v", F.row_number().over(by_rarity).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m"))
+    lists = written(ranked.join(reps.select("id", "t"), "id").where("m >= t AND r <= m - t + 1").select("v", "id", (F.col("m") - F.col("t")).alias("spare")), "lists")
+    dropped(shared)
     edges, comp = None, None
     for turn in range(star_rounds):
         mine = lists.withColumn("c", F.col("id")) if comp is None else lists.join(comp, "id", "left").select("v", "id", "spare", F.coalesce("component_id", "id").alias("c"))
@@ -188,7 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     part = part.withColumn("v", F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("v"), F.lit(bins))).otherwise(F.col("v")))
     dealt = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "id", "c").distinct()
     keys = part.groupBy("id").agg(F.sort_array(F.collect_set("v")).alias("keys"))  # a sketch's values at most
-    dealt = written(dealt.join(reps, "id").join(keys, "id"), "blocks")
+    dealt = dealt.join(reps, "id").join(keys, "id")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("id").reset_index(drop=True)
