@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import identity as I
 from ..operators import reasoning as R
 from ..operators import rules as U
+from ..operators import tuning as N
 from ..operators import validate as V
 from . import views as W
 from .views import with_
@@ -444,6 +445,15 @@ def cosine_top10(s, d):
     return E.cosine_top(v, v.where("id < 5"))
 
 
+_GOLD = "CASE WHEN quality = 1 AND toxic = 0 THEN 'WELL_EXPLORED' WHEN quality = 1 THEN 'PARTIALLY_EXPLORED' WHEN toxic = 1 THEN 'UNDERREPRESENTED' ELSE 'UNKNOWN' END"
+
+
+@query(f"WITH d AS (SELECT coalesce(lang, '?') AS system, {_GOLD} AS gold, n_chars / CAST(1000 AS DOUBLE) AS score FROM documents JOIN labels USING (doc_id)), g AS (SELECT row_number() OVER (ORDER BY lo, hi) AS cell, lo, hi FROM (SELECT CAST(unnest([0.2, 0.5, 1.0, 2.0]) AS DOUBLE) AS lo), (SELECT CAST(unnest([1.0, 2.0, 5.0]) AS DOUBLE) AS hi) WHERE lo < hi), x AS (SELECT system, cell, lo, hi, gold, CASE WHEN score >= hi THEN 'WELL_EXPLORED' WHEN score >= lo THEN 'PARTIALLY_EXPLORED' WHEN score > 0 THEN 'UNDERREPRESENTED' ELSE 'UNKNOWN' END AS predicted FROM d, g), c AS (SELECT system, cell, lo, hi, gold AS class, count(*) AS support, count(*) FILTER (WHERE gold = predicted) AS tp FROM x GROUP BY ALL), p AS (SELECT system, cell, predicted AS class, count(*) AS said FROM x GROUP BY ALL), f AS (SELECT c.system, c.cell, lo, hi, round(avg(CAST(2 AS DOUBLE) * tp / (support + coalesce(said, 0))), 9) AS macro_f1 FROM c LEFT JOIN p ON c.system = p.system AND c.cell = p.cell AND c.class = p.class GROUP BY ALL) SELECT system, lo, hi, macro_f1 FROM f QUALIFY row_number() OVER (PARTITION BY system ORDER BY macro_f1 DESC, cell) = 1")
+def threshold_grid_search(s, d):
+    dev = docs(s, d).join(W.table(s, d, "labels"), "doc_id").select(F.coalesce("lang", F.lit("?")).alias("system"), F.expr(_GOLD).alias("gold"), (F.col("n_chars") / 1000).alias("score"))
+    return N.grid_search(dev, (0.2, 0.5, 1.0, 2.0), (1.0, 2.0, 5.0))
+
+
 @query()
 def greedy_facet_matching(s, d):
     words = lambda t: F.array_distinct(F.split(F.lower(t), " "))
