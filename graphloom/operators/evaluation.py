@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def macro_f1(judged: DataFrame) -> DataFrame:
     """Per class f1 from (gold, predicted, weight long); classes without gold rows are dropped by the caller's filter support > 0."""
@@ -56,31 +63,153 @@ def tension_prf(gold: DataFrame, found: DataFrame) -> DataFrame:
     return n.select("tp", "n_gold", "n_found", (F.col("tp") / F.col("n_found")).alias("precision"), (F.col("tp") / F.col("n_gold")).alias("recall"), (F.lit(2.0) * F.col("tp") / (F.col("n_gold") + F.col("n_found"))).alias("f1"))
 
 
+#: Rows of each side in one block of a search of all rows.
+MEMBERS = 8192
+QUERIES = 2048
+#: Words of the queries of one broadcast block; queries that are scored at once.
+POSTINGS = 1_000_000
+ASKED = 256
+
+
+def _blocks(members: DataFrame, queries: DataFrame, key: list[str], best, k: int) -> DataFrame:
+    """Every query (query_id) against every member (id), block by block; ``best(m, q)`` gives a block's first k of each query (query_id, id, s)."""
+    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {members.schema['id'].dataType.simpleString()}, s double"
+    mb, qb = max(1, -(-members.count() // MEMBERS)), max(1, -(-queries.count() // QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    m = members.withColumn("i", of("id", mb)).withColumn("j", every(qb))
+    q = queries.withColumn("j", of("query_id", qb)).withColumn("i", every(mb))
+
+    def meet(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = best(m, q) if len(m) and len(q) else []
+        return pd.concat(found) if found else pd.DataFrame({"query_id": q["query_id"][:0], "id": m["id"][:0], "s": np.zeros(0)})
+
+    met = m.groupBy(*key, "i", "j").cogroup(q.groupBy(*key, "i", "j")).applyInPandas(meet, ids)
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id")
+
+
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "s", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k documents of each query (request_id, rank, id); docs: id, text; queries: request_id, text. Only postings of query words are kept."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
-    q = queries.select("request_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    sized = docs.select("id", words(F.col("text")).alias("ws")).withColumn("len", F.size("ws"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_words"))  # one row
-    post = sized.select("id", "len", F.explode("ws").alias("w")).join(q.select("w").distinct(), "w", "left_semi").groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
-    df = post.groupBy("w").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") * F.col("n_docs") / F.col("n_words")))
-    rows = post.join(df, "w").join(F.broadcast(stats)).join(q, "w").withColumn("x", part)
-    score = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda s: s["x"]), F.lit(0.0), lambda a, c: a + c)
-    scored = rows.groupBy("request_id", "id").agg(score.alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "id")))
+    """Top k documents of each query (request_id, rank, id); docs: id, text, told apart by id; queries: request_id, text, as many as there are.
+
+    Word counts of documents are written once; blocks of queries, bounded by rows and words, are broadcast to them one after the other.
+    Scores are exact and summed in the order of words, so that copies of a document tie.
+    """
+    spark = docs.sparkSession
+    words = F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), F.array().cast("array<string>")).alias("ws")
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((docs, "id"), (queries, "request_id"))}
+
+    def count(frames):
+        for f in frames:
+            n = [Counter(ws) for ws in f["ws"]]
+            yield pd.DataFrame({"id": f["id"], "len": f["ws"].str.len(), "w": [list(c) for c in n], "tf": [list(c.values()) for c in n]})
+
+    members = written(docs.select("id", words).mapInPandas(count, f"id {kinds['id']}, len long, w array<string>, tf array<long>"), "words")
+    stats = members.agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_words"))  # one row
+    n_docs, n_words = stats.first()
+    df = members.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    said = queries.where("request_id IS NOT NULL").select("request_id", F.explode(F.array_distinct(words)).alias("w")).distinct()
+    asking = written(said.join(df, "w").select("request_id", "w", idf.alias("idf")), "asking")
+    rows, asked = asking.agg(F.count("*"), F.count_distinct("request_id")).first()
+    blocks = max(1, -(-asked // QUERIES), -(-rows // POSTINGS))
+    found = []
+    for block in range(blocks):
+        # Bounded by QUERIES and POSTINGS.
+        q = asking.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == block).toPandas().sort_values(["w", "request_id"])
+        if len(q):
+            code, vocabulary = pd.factorize(q["w"])
+            ask, asks = pd.factorize(q["request_id"])
+            sent = spark.sparkContext.broadcast((vocabulary.tolist(), asks.to_numpy(), code, ask, q["idf"].to_numpy()))
+            found.append(members.where("id IS NOT NULL").mapInArrow(_scorer(sent, k, k1, b, n_docs, n_words), f"request_id {kinds['request_id']}, id {kinds['id']}, s double"))
+    if not found:
+        return spark.createDataFrame([], f"request_id {kinds['request_id']}, rank int, id {kinds['id']}")
+    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("s"), "id")))
     return ranked.where(F.col("rank") <= k).select("request_id", "rank", "id")
 
 
+def _scorer(sent, k: int, k1: float, b: float, n_docs: int, n_words: int):
+    """Scores batches of documents for one block of queries: the first k of each query in a batch."""
+
+    def run(batches):
+        said, asks, theirs, ask, weight = sent.value
+        keys = pa.array(said, pa.string())
+        for batch in batches:
+            lists, n = batch.column("w"), batch.num_rows
+            code = pc.index_in(lists.flatten(), keys).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            tf, length = batch.column("tf").flatten().to_numpy(), batch.column("len").to_numpy()[row]
+            part = tf * (k1 + 1), tf + k1 * (1 - b + b * length * n_docs / n_words)
+            order = np.argsort(code, kind="stable")
+            row, num, den = row[order], part[0][order], part[1][order]
+            starts = np.searchsorted(code[order], np.arange(len(said) + 1))
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for lo in range(0, len(asks), ASKED):
+                mine = np.flatnonzero((ask >= lo) & (ask < lo + ASKED))
+                at = np.flatnonzero(np.r_[True, np.diff(theirs[mine]) > 0, True]) if len(mine) else []
+                score = np.zeros((min(ASKED, len(asks) - lo), n))
+                for y, z in zip(at[:-1], at[1:]):
+                    w = theirs[mine[y]]
+                    c = slice(starts[w], starts[w + 1])
+                    x = weight[mine[y]] * num[c] / den[c]
+                    who = ask[mine[y:z]] - lo
+                    if len(x) * 4 > n:
+                        every = np.zeros(n)
+                        every[row[c]] = x
+                        score[who] += every
+                    elif len(x):
+                        score[np.ix_(who, row[c])] += x
+                kth = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(score))
+                r, c = np.nonzero((score >= kth[:, None]) & (score > 0))
+                best = _first(pd.DataFrame({"query_id": asks[lo + r], "id": ids[c], "s": score[r, c]}), k)
+                yield pa.RecordBatch.from_arrays([pa.array(best["query_id"]), pa.array(best["id"]), pa.array(best["s"], pa.float64())], names=["request_id", "id", "s"])
+
+    return run
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact top k of a bounded query set against all vectors: query rows are broadcast below 1000 of them. (query_id, rank, id)."""
-    n = queries.limit(1001).count()
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    rows = vectors.join(F.broadcast(q) if n <= 1000 else q, F.col("id") != F.col("query_id"))
-    scored = rows.select("query_id", "id", (dot(F.col("v"), F.col("qv")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("qv"), F.col("qv")))).alias("s"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id")
+    """Exact top k of all queries against all vectors of their length, in blocks: (query_id, rank, id); both sides: id, v.
+
+    Vectors that are null, zero or not finite neither ask nor answer. Products of matrices only choose what may rank; sums in the order
+    of components rank it, so that copies of a vector tie.
+    """
+    x = F.col("v")
+    good = F.col("id").isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(x, lambda c: c != 0), F.lit(False))
+    usable = lambda d, name: d.select("id", F.col("v").cast("array<double>").alias("v")).where(good).select(F.col("id").alias(name), "v", F.size("v").alias("dim"))
+
+    def scaled(v: pd.Series) -> np.ndarray:
+        """By a power of two, which no digit is lost to and no square overflows."""
+        a = np.array(v.tolist(), np.float64)
+        return np.ldexp(a, -np.frexp(np.abs(a).max(axis=1))[1][:, None])
+
+    def dot(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for n in range(a.shape[1]):
+            total += a[:, n] * c[:, n]
+        return total
+
+    def best(m: pd.DataFrame, q: pd.DataFrame) -> list[pd.DataFrame]:
+        a, y = scaled(m["v"]), scaled(q["v"])
+        # Of equal vectors, no more than the first k ids and the query's own can matter.
+        same = pd.DataFrame({"id": m["id"].to_numpy(), "cls": np.unique(a, axis=0, return_inverse=True)[1].ravel()})
+        some = (same.groupby("cls")["id"].rank("dense") <= k + 1).to_numpy()
+        a, ids, asks, out = a[some], m["id"].to_numpy()[some], q["query_id"].to_numpy(), []
+        aa, yy = dot(a, a), dot(y, y)
+        unit = a / np.sqrt(aa)[:, None]
+        for lo in range(0, len(y), ASKED):
+            near = (y[lo : lo + ASKED] / np.sqrt(yy[lo : lo + ASKED])[:, None]) @ unit.T
+            near[asks[lo : lo + ASKED, None] == ids[None, :]] = -np.inf
+            kth = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(near), -2.0)
+            r, c = np.nonzero((near >= kth[:, None] - 1e-9) & (near > -np.inf))
+            s = dot(a[c], y[lo + r]) / np.sqrt(aa[c] * yy[lo + r])
+            out.append(_first(pd.DataFrame({"query_id": asks[lo + r], "id": ids[c], "s": s}), k))
+        return out
+
+    return _blocks(usable(vectors, "id"), usable(queries, "query_id"), ["dim"], best, k)
 
 
 def greedy_matching(pairs: DataFrame, least: float) -> DataFrame:

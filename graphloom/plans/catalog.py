@@ -436,13 +436,14 @@ _BQ = [(1, "the and of"), (2, "pour les"), (3, "thing ver"), (4, "")]
 
 @query("WITH q AS (SELECT request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM (VALUES " + W._values(_BQ) + ") AS v(request_id, text)), t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), st AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_words FROM t), p AS (SELECT id, len, w, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS w FROM t) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2, 3), df AS (SELECT w, count(*) AS df FROM p GROUP BY 1), x AS (SELECT q.request_id, p.id, sum(ln(1 + (n_docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len * n_docs / n_words))) AS score FROM p JOIN df USING (w) JOIN q USING (w), st GROUP BY 1, 2) SELECT request_id, rank, id FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank, id FROM x) WHERE rank <= 10")
 def bm25_top10(s, d):
-    return E.bm25(docs(s, d).select(F.col("doc_id").alias("id"), "text"), s.createDataFrame(_BQ, "request_id long, text string"))
+    rows = docs(s, d).select(F.col("doc_id").alias("id"), "text")
+    return E.bm25(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "request_id"))
 
 
 @query("WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT query_id, rank, id FROM (SELECT q.id AS query_id, x.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(x.v, q.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(q.v, q.v)) DESC, x.id) AS rank FROM x, x q WHERE q.id < 5 AND q.id <> x.id) WHERE rank <= 10")
 def cosine_top10(s, d):
     v = W.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return E.cosine_top(v, v.where("id < 5"))
+    return E.cosine_top(v, v.where("id % 20 = 0"))
 
 
 _GOLD = "CASE WHEN quality = 1 AND toxic = 0 THEN 'WELL_EXPLORED' WHEN quality = 1 THEN 'PARTIALLY_EXPLORED' WHEN toxic = 1 THEN 'UNDERREPRESENTED' ELSE 'UNKNOWN' END"
