@@ -74,6 +74,24 @@ def prioritised_lookup(references: DataFrame, keys: list[str], dictionary: DataF
     return hit.where("citing <> target").select("citing", "target").distinct()
 
 
+#: Weights of the candidate score: seed queries, log of citations, log of references, links in the pool, recency.
+SCORE = {"seed_hits": 10.0, "citation_count": 1.0, "reference_count": 0.5, "in_pool_citation_degree": 2.0, "recency": 1.0}
+
+
+def score_parts(papers: DataFrame, now: int) -> DataFrame:
+    """papers (n_seeds, citation_count, reference_count, degree, year, and other columns kept) with ``parts``, a struct of the named parts, and their sum ``score``."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    of = {
+        "seed_hits": zero("n_seeds"), "citation_count": F.log1p(zero("citation_count")), "reference_count": F.log1p(zero("reference_count")),
+        "in_pool_citation_degree": zero("degree"), "recency": (zero("year") >= now).cast("int"),
+    }
+    parts = papers.withColumn("parts", F.struct(*[(F.lit(w) * of[n]).alias(n) for n, w in SCORE.items()]))
+    total = F.lit(0.0)
+    for n in SCORE:
+        total = total + F.col(f"parts.{n}")
+    return parts.withColumn("score", total)
+
+
 def quota_selection(scored: DataFrame, quotas: DataFrame, target: int) -> DataFrame:
     """Rows (id, bucket, score) chosen by bucket minima, then greedily up to maxima, then beyond them, until ``target``.
 

@@ -176,10 +176,9 @@ def limitation_markers(s, d):
 
 def _scored(s, d):
     deg = G.degrees(W.cites(s, d))
-    p = W.paper(s, d).join(deg, "id", "left")
-    # Counts enter as whole halves, so that the score is exact in both engines.
-    score = F.lit(10.0) + F.col("citation_count") + F.lit(0.5) * F.col("reference_count") + F.lit(2.0) * F.coalesce("degree", F.lit(0)) + F.when(F.col("year") >= W.NOW, 1.0).otherwise(0.0)
-    return p.withColumn("bucket", T.year_bucket(F.col("year"), 1996, 2000)).withColumn("score", score)
+    p = I.score_parts(W.paper(s, d).withColumn("n_seeds", F.col("seed").isNotNull().cast("int")).join(deg, "id", "left"), W.NOW)
+    # Logarithms may differ in their last bits between engines: rounded, so that both order alike.
+    return p.withColumn("bucket", T.year_bucket(F.col("year"), 1996, 2000)).withColumn("score", F.round("score", 9))
 
 
 _SCORED = with_("paper cites degree", "SELECT p.id, CASE WHEN year IS NULL THEN 'unknown' WHEN year <= 1996 THEN 'early' WHEN year < 2000 THEN 'middle' ELSE 'late' END AS bucket, CAST(10 AS DOUBLE) + citation_count + CAST(0.5 AS DOUBLE) * reference_count + CAST(2 AS DOUBLE) * coalesce(degree, 0) + (CASE WHEN year >= 2001 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS score FROM paper p LEFT JOIN degree d ON p.id = d.id")
@@ -187,7 +186,7 @@ _SCORED = with_("paper cites degree", "SELECT p.id, CASE WHEN year IS NULL THEN
 
 @query(f"SELECT id, score FROM ({_SCORED})")
 def candidate_score_parts(s, d):
-    return _scored(s, d).select("id", "score")
+    return _scored(s, d).select("id", "score", *[F.round(f"parts.{n}", 9).alias(n) for n in I.SCORE])
 
 
 @query(f"SELECT bucket, count(*) AS n FROM ({_SCORED}) GROUP BY 1")

@@ -6,8 +6,8 @@ from collections import Counter
 
 import numpy as np
 
-from graphloom.operators import evaluation
-from graphloom.plans import catalog
+from graphloom.operators import evaluation, identity
+from graphloom.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +56,19 @@ def test_bm25_asks_with_every_twentieth_document(spark, monkeypatch):
                 s[i] = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * n[w] * 2.2 / (n[w] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for w in common)
         assert np.allclose([s[i] for i in found], [s[i] for i in top(s)], rtol=1e-9)
         assert all(a < b for a, b in zip(found, found[1:]) if docs[a] == docs[b])
+
+
+def test_score_has_logarithms_and_parts(spark):
+    rows = spark.createDataFrame([("a", 2, 99, 3, 4, 2001), ("b", None, None, None, None, None)], "id string, n_seeds int, citation_count long, reference_count long, degree long, year int")
+    got = {r["id"]: r for r in identity.score_parts(rows, 2001).collect()}
+    assert math.isclose(got["a"]["score"], 20 + math.log1p(99) + 0.5 * math.log1p(3) + 8 + 1)
+    assert list(got["a"]["parts"].asDict()) == list(identity.SCORE) and got["a"]["parts"]["seed_hits"] == 20.0
+    assert got["b"]["score"] == 0.0
+
+
+def test_selection_goes_by_that_score(spark):
+    degree = Counter(x for r in views.cites(spark, SF).collect() for x in r)
+    want = {r["id"]: 10 * (r["seed"] is not None) + math.log1p(r["citation_count"]) + 0.5 * math.log1p(r["reference_count"]) + 2 * degree[r["id"]] + (r["year"] >= views.NOW) for r in views.paper(spark, SF).collect()}
+    got = {r["id"]: r for r in catalog.QUERIES["candidate_score_parts"](spark, SF).collect()}
+    assert set(got) == set(want) and all(abs(got[i]["score"] - want[i]) < 1e-8 and abs(sum(got[i][n] for n in identity.SCORE) - want[i]) < 1e-8 for i in want)
+    assert all(abs(r["score"] - want[r["id"]]) < 1e-8 for r in catalog.QUERIES["quota_selection"](spark, SF).collect())
