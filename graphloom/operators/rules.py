@@ -81,6 +81,25 @@ def cooccurrences(sentence_hits_a: DataFrame, sentence_hits_b: DataFrame) -> Dat
     return a.join(b, ["id", "pos"]).where("a <> b").groupBy("id", "a", "b").agg(F.min("pos").alias("pos"))
 
 
+def limitation_edges(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str]) -> DataFrame:
+    """(source, relation, target, source_paper, attribution, rule_id, confidence, fragment): methods that report a limitation, by paper.
+
+    Fires at the first sentence of the abstract with a limitation's label (its first alias), any alias of a method and the cue of limitations;
+    SELF_REPORTED where the paper proposes that method, else THIRD_PARTY. papers and vocabulary as for ``rule_edges``.
+    """
+    label = vocabulary.where("type = 'limitation'").groupBy("entity").agg(F.min_by("alias", F.struct("alias_ord", "alias")).alias("alias"))
+    terms = vocabulary.where("type = 'method'").select("entity", "alias", F.lit(True).alias("method")).unionByName(label.select("entity", "alias", F.lit(False).alias("method")))
+    cued = sentence_rows(papers.select("id", F.col("abstract").alias("text"))).withColumnRenamed("sentence", "text").where(F.rlike("text", F.lit("(?i)" + cues["limitation"])))
+    rows = term_matches(cued, terms)
+    both = rows.where("method").select("id", "pos", "text", F.col("entity").alias("source")).join(rows.where("NOT method").select("id", "pos", F.col("entity").alias("target")), ["id", "pos"])
+    first = both.groupBy("id", "source", "target").agg(F.min_by("text", "pos").alias("fragment"))
+    own = rule_edges(papers, vocabulary, cues, tuple(r for r in RULES if r.relation == "PROPOSES")).select(F.col("source").alias("id"), F.col("target").alias("source"), F.lit("SELF_REPORTED").alias("own"))
+    return first.join(own, ["id", "source"], "left").select(
+        "source", F.lit("REPORTS_LIMITATION").alias("relation"), "target", F.col("id").alias("source_paper"), F.coalesce("own", F.lit("THIRD_PARTY")).alias("attribution"),
+        F.lit("reports_limitation.method_and_limitation_in_sentence.v1").alias("rule_id"), F.lit(0.6).alias("confidence"), "fragment",
+    )
+
+
 def accumulate(edges: DataFrame) -> DataFrame:
     """One row per (source, relation, target): provenance of the least ``ord`` first, the later ones as corroboration."""
     kept = F.array_sort(F.collect_list(F.struct("ord", "provenance")))

@@ -288,7 +288,7 @@ def validate_symmetric_mirror(s, d):
 def validate_attribution(s, d):
     lp = W.line_parts(s, d).select(W.paper_id("l_orderkey").alias("paper"), F.concat(F.lit("method:"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("m"), "l_linenumber")
     proposes = lp.select(F.col("paper").alias("source"), F.lit("PROPOSES").alias("relation"), F.col("m").alias("target"), F.col("paper").alias("source_paper"), F.lit(None).cast("string").alias("attribution"))
-    limits = lp.where("l_linenumber <= 2").select(F.col("m").alias("source"), F.lit("REPORTS_LIMITATION").alias("relation"), F.concat(F.lit("limitation:l"), F.col("l_linenumber").cast("string")).alias("target"), F.col("paper").alias("source_paper"), F.when(F.col("l_linenumber") % 2 == 1, "SELF_REPORTED").otherwise("EXTERNAL").alias("attribution"))
+    limits = lp.select(F.col("m").alias("source"), F.lit("REPORTS_LIMITATION").alias("relation"), F.concat(F.lit("limitation:l"), F.col("l_linenumber").cast("string")).alias("target"), F.col("paper").alias("source_paper"), F.when(F.col("l_linenumber") % 2 == 1, "SELF_REPORTED").otherwise("EXTERNAL").alias("attribution"))
     return V.attribution(proposes.unionByName(limits)).distinct()
 
 
@@ -383,7 +383,7 @@ def tensions(s, d):
 
 @query(with_("lp", "SELECT DISTINCT source AS paper, 'method:' || noun AS method, 'limitation:l' || l_linenumber AS limitation FROM lp WHERE l_linenumber <= 2"))
 def limitations_report(s, d):
-    return W.line_parts(s, d).where("l_linenumber <= 2").select(W.paper_id("l_orderkey").alias("paper"), F.concat(F.lit("method:"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("method"), F.concat(F.lit("limitation:l"), F.col("l_linenumber").cast("string")).alias("limitation")).distinct()
+    return W.line_parts(s, d).select(W.paper_id("l_orderkey").alias("paper"), F.concat(F.lit("method:"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("method"), F.concat(F.lit("limitation:l"), F.col("l_linenumber").cast("string")).alias("limitation")).distinct()
 
 
 _J = "(SELECT quality AS gold, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS predicted, 1 + doc_id % 3 AS weight FROM documents JOIN labels USING (doc_id))"

@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 
-from graphloom.operators import evaluation, identity
+from graphloom.functions import text as T
+from graphloom.operators import evaluation, identity, rules
 from graphloom.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,23 @@ def test_selection_goes_by_that_score(spark):
     got = {r["id"]: r for r in catalog.QUERIES["candidate_score_parts"](spark, SF).collect()}
     assert set(got) == set(want) and all(abs(got[i]["score"] - want[i]) < 1e-8 and abs(sum(got[i][n] for n in identity.SCORE) - want[i]) < 1e-8 for i in want)
     assert all(abs(r["score"] - want[r["id"]]) < 1e-8 for r in catalog.QUERIES["quota_selection"](spark, SF).collect())
+
+
+def test_limitations_of_all_lines(spark):
+    lines = {(f"paper:o_{r['l_orderkey']}", "method:" + r["p_name"].split(" ")[1], r["l_linenumber"]) for r in views.line_parts(spark, SF).collect()}
+    assert max(n for *_, n in lines) > 2
+    got = [tuple(r) for r in catalog.QUERIES["limitations_report"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p, m, f"limitation:l{n}") for p, m, n in lines}
+    found = {r["location"] for r in catalog.QUERIES["validate_attribution"](spark, SF).collect()}
+    assert found == {f"{m}|REPORTS_LIMITATION|limitation:l{n}" for _, m, n in lines if n % 2 == 0}
+
+
+def test_limitation_edges_need_label_method_and_cue(spark):
+    texts = ["We propose a ring. The ring fails under noise.", "However, the loop fails in Noise.", "A ring meets noise.", "The ring fails. Noise is a challenge.", "A ring fails under static.", None]
+    papers = spark.createDataFrame([(f"p{i}", "x", t) for i, t in enumerate(texts)], "id string, title string, abstract string")
+    vocab = [("method:ring", "method", "ring", 1), ("method:ring", "method", "loop", 2), ("limitation:noise", "limitation", "noise", 1), ("limitation:noise", "limitation", "static", 2)]
+    rows = rules.limitation_edges(papers, spark.createDataFrame(vocab, "entity string, type string, alias string, alias_ord int"), T.CUES).collect()
+    assert {(r["source_paper"], r["source"], r["target"], r["attribution"], r["fragment"]) for r in rows} == {
+        ("p0", "method:ring", "limitation:noise", "SELF_REPORTED", "The ring fails under noise."), ("p1", "method:ring", "limitation:noise", "THIRD_PARTY", "However, the loop fails in Noise."),
+    }
+    assert len(rows) == 2
