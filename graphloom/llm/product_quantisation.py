@@ -31,6 +31,8 @@ QUERIES = 2048
 PARTS = 8
 CODES = 64
 PROBES = 32
+#: Vector lengths that have an index of their own.
+LENGTHS = 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -85,6 +87,8 @@ class Index:
 
 def _unit(column: list) -> np.ndarray:
     x = np.array(column, np.float64)
+    # A power of two, near the largest component: no digit is lost and no square overflows or vanishes.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -92,11 +96,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     """Per vector: id, n_links (other vectors of at least that cosine), component_id (smallest id reachable), kept (id = component_id)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    usable = F.coalesce(F.size("x") > 0, F.lit(False)) & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e150))) & F.exists("x", lambda v: F.abs(v) > F.lit(1e-150)), F.lit(False))
+    usable = F.coalesce(F.size("x") > 0, F.lit(False)) & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = written(rows.withColumn("ok", usable), "vectors")
     classes = written(rows.where("ok").groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     found, links = [], []
-    for dim, total in sorted(classes.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count")).limit(64).collect()):
+    # The most frequent lengths have an index each; all others are compared without one, in a single pass.
+    frequent = sorted(classes.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect())
+    rare = classes.where(~F.size("x").isin([dim for dim, _ in frequent]))
+    if len(frequent) == LENGTHS and not rare.isEmpty():
+        f, e = _rare_lengths(rare, cosine)
+        found.append(f)
+        links.append(e)
+    for dim, total in frequent:
         own = classes.where(F.size("x") == dim)
         taken = own.orderBy(F.xxhash64("x"), "rep").limit(SAMPLE).select("x").toPandas()  # bounded by SAMPLE
         index = spark.sparkContext.broadcast(Index(_unit(taken["x"].tolist()), total))  # bounded by MAX_LISTS and CODES
@@ -115,6 +126,43 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     return good.unionByName(bad).withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
+def _rare_lengths(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """As ``_one_length`` for all lengths at once: blocks of the classes of a length meet each other, without an index."""
+    sized = classes.withColumn("dim", F.size("x"))
+    blocks = sized.groupBy("dim").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    dealt = written(sized.join(blocks, "dim").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "rare")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = dealt.select("dim", F.col("own").alias("i"), other.alias("j"), "rep", "n", "x")
+    asking = dealt.select("dim", other.alias("i"), F.col("own").alias("j"), "rep", "x")
+
+    def meet(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        total, tree, root = np.zeros(len(q), np.int64), [], {}
+        if m.empty or q.empty:
+            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
+
+        def top(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        x, y = _unit(m["x"].tolist()), _unit(q["x"].tolist())
+        ids, n, qs = m["rep"].to_numpy(), m["n"].to_numpy(), q["rep"].to_numpy()
+        for lo in range(0, len(qs), 512):
+            r, c = np.nonzero((y[lo : lo + 512] @ x.T >= cosine) & (qs[lo : lo + 512, None] != ids[None, :]))
+            np.add.at(total, lo + r, n[c])
+            for a, b in zip(qs[lo + r].tolist(), ids[c].tolist()):
+                ra, rb = top(a), top(b)
+                if ra != rb:
+                    root[max(ra, rb)] = min(ra, rb)
+                    tree.append((a, b))
+        out = [(a, b, 0) for a, b in tree] + list(zip(qs[total > 0].tolist(), qs[total > 0].tolist(), total[total > 0].tolist()))
+        return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
+
+    met = written(members.groupBy("dim", "i", "j").cogroup(asking.groupBy("dim", "i", "j")).applyInPandas(meet, "a long, b long, links long"), "rare-met")
+    return met.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")), met.where("a <> b").select("a", "b")
+
+
 def _one_length(classes: DataFrame, index, cosine: float, probes: int) -> tuple[DataFrame, DataFrame]:
     """Of classes of one length: (rep, links) and a spanning forest (a, b) of the links."""
 
