@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-SECRET = r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"'])[A-Za-z0-9/+_.-]{8,200}(?=[\"'])|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+SECRET = r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"'])[A-Za-z0-9/+_.-]{8,}+(?=[\"'])|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\w.])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?!\w)"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
@@ -190,7 +190,7 @@ def pseudonym(value: Column, key: str) -> Column:
     return (
         F.when(kind == "email", F.concat(F.lit("u"), F.substring(digest, 1, 16), F.lit("@mail.invalid")))
         .when(kind == "iban", _iban(key, value)).when(kind == "date", _date(key, value)).when(kind == "ip", _ip(key, value)).when(kind == "number", _number(key, value)).when(kind == "phone", _phone(key, value))
-        .otherwise(F.substr(F.repeat(digest, 4), F.lit(1), F.length(value)))
+        .otherwise(F.substr(F.repeat(digest, F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value)))
     )
 
 

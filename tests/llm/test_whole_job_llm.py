@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import product_quantisation
+from graphloom.llm import pii, product_quantisation
 
 
 def test_vectors_of_rare_lengths_and_sizes(spark, monkeypatch):
@@ -25,3 +25,12 @@ def test_vectors_of_rare_lengths_and_sizes(spark, monkeypatch):
             todo += new
         assert got[i]["component_id"] == min(seen)
     assert near[900] and near[901] and len(got) == len(rows)
+
+
+def test_secrets_of_any_length(spark):
+    secrets = {n: "aB3" * (n // 3) + "x" * (n % 3) for n in (8, 64, 65, 200, 201, 257, 5000)}
+    rows = [(n, f'set token = "{s}" here') for n, s in secrets.items()]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for n, s in secrets.items():
+        assert len(got[n]) == len(f'set token = "{s}" here') and s not in got[n]
+        assert got[n].startswith('set token = "') and got[n].endswith('" here')
