@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cues of typed relations, markers of limitations, stop-words of unknown terms.
+# Cues of typed relations, markers of limitations in abstracts, stop-words of unknown terms, wordings that claim novelty.
 CUES = {
-    "contribution": r"\b(?:introduce|introduces|present|presents|propose|proposes|we develop|novel)\b",
-    "use": r"\b(?:use|uses|using|leverage|leverages|employ|employs|based on)\b",
-    "result": r"\b(?:evaluate|evaluates|evaluated|benchmark|results|outperform|outperforms)\b",
-    "compare": r"\b(?:compare|compares|compared|baseline|versus)\b",
-    "limitation": r"\b(?:limitation|limitations|fails|failure|challenge|however)\b",
+    "contribution": r"\b(?:we propose|we introduce|we present|we develop|we study|we investigate|we evaluate|we show|we build)\b",
+    "use": r"\b(?:we use|we employ|we leverage|we build|we integrate)\b",
+    "result": r"\b(?:evaluate|evaluation|results?|benchmark|dataset|performance|ablation)\b",
+    "compare": r"\b(?:compare|comparison|versus|outperform|beats|against)\b",
+    "limitation": r"\b(?:limitation|limitations|limited|shortcoming|trade-?off)\b",
 }
-LATIN = str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
+LIMITATION_MARKERS = (
+    "limitation", "limitations", "limited to", "limited by", "shortcoming", "trade-off",
+    "tradeoff", "fails to", "does not scale", "cannot handle", "memory overhead", "catastrophic forgetting",
+)
+STOP_WORDS = (
+    "that", "this", "with", "from", "into", "onto", "using", "use", "want", "build",
+    "agent", "agents", "memory", "research", "proposal", "wanting", "should", "would",
+    "could", "about", "their", "have", "has", "been", "were", "they", "when", "also",
+)
+NOVELTY = r"(?i)\b(?:this|your|the)[ \t]+(?:proposal|research|idea|work)[ \t]+(?:is|appears|seems)[ \t]+(?:\w+[ \t]+)?novel\b|\bno prior work (?:exists|has been)\b"
 WORD = "[A-Za-z0-9_]"
 
 
@@ -39,10 +53,34 @@ def normalize_s2(x: Column) -> Column:
     return empty_to_null(F.when(low.startswith("https://"), F.element_at(F.split(low, "/"), -1)).otherwise(low))
 
 
+@cache
+def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition holds ASCII: those that give one character, and those that give several."""
+    one, several = {}, {}
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        if not unicodedata.decomposition(c):
+            continue
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if plain:
+            (one if len(plain) == 1 else several)[c] = plain
+    return one, several
+
+
+def fold_ascii(x: Column) -> Column:
+    """Compatibility decomposition without accents; what is still not ASCII is deleted. Texts in ASCII pass untouched."""
+    one, several = _compatibility()
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # a constant of the plan
+    long = F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), 0), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    spelled = F.when(F.rlike(x, F.lit(f"[{''.join(sorted(several))}]")), long).otherwise(x)
+    singles = sorted(one)
+    folded = F.regexp_replace(F.translate(spelled, "".join(singles), "".join(one[c] for c in singles)), r"[^\x00-\x7F]", "")
+    return F.when(F.rlike(x, F.lit(r"[^\x00-\x7F]")), folded).otherwise(x)
+
+
 def fold_latin(x: Column) -> Column:
-    """Lower case with Latin accents removed; what is still not ASCII is deleted."""
-    pairs = sorted(LATIN.items())
-    return F.regexp_replace(F.translate(F.lower(x), "".join(chr(a) for a, _ in pairs), "".join(chr(ord(b)) if isinstance(b, str) else chr(b) for _, b in pairs)), r"[^\x00-\x7F]", "")
+    """Lower case in ASCII letters."""
+    return F.lower(fold_ascii(x))
 
 
 def normalize_title(x: Column) -> Column:
@@ -91,6 +129,52 @@ def terms(x: Column, stop: list[str], most: int = 5) -> Column:
     return F.slice(F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)).cast("array<string>"))), 1, most)
 
 
+def unknown_terms(x: Column, pieces: Column, nothing_known: Column, stop: tuple[str, ...] = STOP_WORDS, most: int = 5) -> Column:
+    """Sorted distinct words of five letters or more, as written, that are neither stop-words nor ``pieces`` (words of known aliases, in lower case).
+
+    Where no such word is left and nothing is known, the text's first 64 characters stand for it, or ``empty_input``.
+    """
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit("[A-Za-z][A-Za-z0-9-]{4,}"), 0))
+    known = F.array_union(F.coalesce(pieces, F.array().cast("array<string>")), F.array(*map(F.lit, stop)))
+    left = F.slice(F.array_sort(F.filter(found, lambda w: ~F.array_contains(known, F.lower(w)))), 1, most)
+    whole = F.coalesce(empty_to_null(F.substring(F.trim(x), 1, 64)), F.lit("empty_input"))
+    return F.when((F.size(left) == 0) & nothing_known, F.array(whole)).otherwise(left)
+
+
+def claims_novelty(x: Column) -> Column:
+    """A text of the system that calls the user's proposal novel."""
+    return F.rlike(x, F.lit(NOVELTY))
+
+
+def cache_name(x: Column, most: int = 180) -> Column:
+    """File name of a query: letters, digits, dots, hyphens and underscores, lower case; ``query`` where nothing is left."""
+    plain = F.regexp_replace(F.substring(F.regexp_replace(x, r"[^a-zA-Z0-9_.-]+", "_"), 1, most), r"^_+|_+$", "")
+    return F.coalesce(empty_to_null(F.lower(plain)), F.lit("query"))
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """The double nearest to x rounded to ``digits`` decimals by its exact binary value, ties to even (for |x| * 10^digits below 2^25).
+
+    The two candidates are neighbours on the decimal grid; x is compared with their middle exactly, by splitting the middle into
+    halves whose products are exact.
+    """
+    scale = float(10**digits)
+
+    def of(v: Column) -> Column:
+        low = F.floor(v * scale).cast("double")
+        # The product may be off by one unit in its last place, so the grid point below is found again.
+        low = low - F.when(low / scale > v, 1.0).otherwise(0.0)
+        odd = low * 2 + 1
+        middle = odd / F.lit(2 * scale)
+        c = middle * 134217729.0
+        high = c - (c - middle)
+        error = (high * F.lit(2 * scale) - odd) + (middle - high) * F.lit(2 * scale)  # sign of the double nearest to the middle, less the middle
+        up = F.when(v != middle, v > middle).when(error != 0, error > 0).otherwise(low % 2 != 0)
+        return (low + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return F.when(x < 0, -F.element_at(F.transform(F.array(-x), of), 1)).otherwise(F.element_at(F.transform(F.array(x), of), 1))
+
+
 def word_count(x: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(x), r"[ \t\r\n]+"), lambda w: w != ""))
 

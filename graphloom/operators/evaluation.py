@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import reasoning as R
 
 
 def macro_f1(judged: DataFrame) -> DataFrame:
@@ -55,6 +56,96 @@ def risk_coverage(judged: DataFrame) -> DataFrame:
     return rows.withColumn("risk", F.col("errors") / F.col("covered"))
 
 
+def _running(judged: DataFrame) -> DataFrame:
+    """judged with k (rank by descending confidence, ties by id) and errors (wrong ones up to it), without one task for all rows.
+
+    Rows are dealt by ranges of the order; each range's counts are added to those of the ranges before it.
+    """
+    keyed = judged.select("id", (-F.col("confidence")).alias("c"), F.col("wrong").cast("long").alias("wrong"))
+    ranged = written(keyed.repartitionByRange("c", "id").withColumn("_p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_p")  # one row for each range
+    base = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.sum("wrong").alias("w")).select("_p", (F.sum("n").over(before) - F.col("n")).alias("bn"), (F.sum("w").over(before) - F.col("w")).alias("bw"))
+    own = Window.partitionBy("_p").orderBy("c", "id")
+    return ranged.join(F.broadcast(base), "_p").select("id", (F.col("bn") + F.row_number().over(own)).alias("k"), (F.col("bw") + F.sum("wrong").over(own)).alias("errors"))
+
+
+def risk_grid(judged: DataFrame, grid: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> DataFrame:
+    """(coverage, kept, errors, risk) at each coverage of the grid, the most confident rows kept, rounded up; judged: id, confidence, wrong (0 or 1)."""
+    rows = _running(judged)
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    wanted = n.select(F.explode(F.array(*map(F.lit, grid))).alias("coverage"), "n").select("coverage", F.ceil(F.round(F.col("coverage") * F.col("n"), 6)).cast("long").alias("kept"))
+    hit = F.broadcast(wanted).join(rows, F.col("kept") == F.col("k"))
+    return hit.select("coverage", "kept", "errors", (F.col("errors") / F.col("kept")).alias("risk"))
+
+
+def aurc(judged: DataFrame) -> DataFrame:
+    """One row (n, aurc): the mean risk over all coverages 1/n, 2/n, ..., 1; lower is better, null without rows."""
+    return _running(judged).agg(F.count("*").alias("n"), F.avg(F.col("errors") / F.col("k")).alias("aurc"))
+
+
+def abstention(judged: DataFrame) -> DataFrame:
+    """One row on a system that may abstain: coverage, accuracy where it does not, and the share of out-of-scope rows where it does.
+
+    judged: gold, predicted, abstain, out_of_scope. Shares of nothing are null.
+    """
+    n = judged.agg(
+        F.count("*").alias("n"), F.count_if(~F.col("abstain")).alias("answered"), F.count_if(~F.col("abstain") & (F.col("gold") == F.col("predicted"))).alias("right"),
+        F.count_if("out_of_scope").alias("outside"), F.count_if(F.col("out_of_scope") & F.col("abstain")).alias("refused"),
+    )
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return n.select("n", "answered", share("answered", "n").alias("coverage"), share("right", "answered").alias("selective_accuracy"), share("refused", "outside").alias("abstention_recall"))
+
+
+def ablation(grounded: DataFrame, found: DataFrame, papers: DataFrame, cites: DataFrame, now: int, rungs: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(rung, request_id, paper, score, label): the best paper and label of each request when only a rung's features count.
+
+    All rungs share one plan up to the features, and one label rule, so that they differ in features alone.
+    """
+    rows = R.scored(grounded, found, papers, cites, now)
+    total = {}
+    for rung, names in rungs.items():
+        total[rung] = F.lit(0.0)
+        for name, weight in R.WEIGHTS.items():
+            if name in names:
+                total[rung] = total[rung] + F.lit(weight) * F.col(f"features.{name}")
+    each = rows.select("request_id", "paper", F.inline(F.array(*[F.struct(F.lit(r).alias("rung"), t.alias("score")) for r, t in total.items()])))
+    best = each.groupBy("rung", "request_id").agg(F.min_by("paper", F.struct(-F.col("score"), F.col("paper"))).alias("paper"), F.max("score").alias("score"))
+    label = F.when(F.col("score") >= 0.65, "WELL_EXPLORED").when(F.col("score") >= 0.4, "PARTIALLY_EXPLORED").when(F.col("score") > 0, "UNDERREPRESENTED").otherwise("UNKNOWN")
+    return best.select("rung", "request_id", "paper", "score", label.alias("label"))
+
+
+def citation_retrieval(seeds: DataFrame, cites: DataFrame, k: int = 10) -> DataFrame:
+    """Top k papers of each request by citation links to its seed papers (request_id, rank, id, links); seeds: request_id, id; cites: a, b. Seeds are no answers."""
+    both = cites.select("a", "b").union(cites.select("b", "a")).distinct()
+    asked = seeds.select("request_id", "id").distinct()
+    links = asked.join(both, F.col("id") == F.col("a")).groupBy("request_id", F.col("b").alias("id")).agg(F.count("*").alias("links"))
+    others = links.join(asked, ["request_id", "id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("links"), "id"))
+    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("request_id", "rank", "id", "links")
+
+
+def tag_retrieval(asked: DataFrame, tags: DataFrame, k: int = 10) -> DataFrame:
+    """Top k papers of each request by shared tags, whatever their type (request_id, rank, id, shared); asked: request_id, tag; tags: id, tag."""
+    hits = tags.distinct().join(asked.distinct(), "tag").groupBy("request_id", "id").agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("shared"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("request_id", "rank", "id", "shared")
+
+
+def tension_papers(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(facet, claim, status, jaccard) of tensions in both: the share that their sets of papers (array) have in common; empty sets are equal."""
+    keys = ["facet", "claim", "status"]
+    both = gold.select(*keys, F.array_distinct("papers").alias("g")).join(found.select(*keys, F.array_distinct("papers").alias("f")), keys)
+    union = F.size(F.array_union("g", "f"))
+    return both.select(*keys, F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("g", "f")) / union).alias("jaccard"))
+
+
+def grounding_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """One row on facets matched one-to-one (gold, system columns of ``greedy_matching`` behind): gold and found hold facet; counts, precision, recall, unsupported and missing rates."""
+    n = gold.agg(F.count("*").alias("n_gold")).join(F.broadcast(found.agg(F.count("*").alias("n_found"), F.count("gold").alias("matched"))))
+    p, r = F.col("matched") / F.col("n_found"), F.col("matched") / F.col("n_gold")
+    return n.select("n_gold", "n_found", "matched", p.alias("precision"), r.alias("recall"), (1 - p).alias("unsupported"), (1 - r).alias("missing"))
+
+
 def tension_prf(gold: DataFrame, found: DataFrame) -> DataFrame:
     """One row: true positives, precision, recall, f1 over distinct (facet, claim, status)."""
     keys = ["facet", "claim", "status"]

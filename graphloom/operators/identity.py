@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .graph import components
 
 
@@ -49,16 +50,33 @@ def completeness(columns: list[str]) -> Column:
     return total
 
 
-def roll_up(resolved: DataFrame, by: str, complete: Column, first_nonempty: list[str], maxima: list[str], sets: list[str]) -> DataFrame:
-    """One row per candidate: title from the most complete record (then by source and order), other scalars the first that is not empty, maxima, sorted distinct sets."""
+def roll_up(resolved: DataFrame, by: str, complete: Column, first_nonempty: list[str], maxima: list[str], sets: list[str], best_nonempty: list[str] = ()) -> DataFrame:
+    """One row per candidate: title from the most complete record (then by source and order), ``best_nonempty`` likewise from the first record where they are not empty
+    (authors), other scalars the first in record order that is not empty, maxima, sorted distinct sets."""
     rows = resolved.withColumn("_c", complete)
-    first = [F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("rec_ord"))).alias(c) for c in first_nonempty]
+    said = lambda c: F.col(c).isNotNull() & (F.size(c) > 0 if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string") != "")
+    best = F.struct(-F.col("_c"), F.col("source"), F.col("rec_ord"))
+    first = [F.min_by(c, F.when(said(c), F.col("rec_ord"))).alias(c) for c in first_nonempty] + [F.min_by(c, F.when(said(c), best)).alias(c) for c in best_nonempty]
     return rows.groupBy(by).agg(
-        F.count("*").alias("n_records"), F.min_by("title", F.struct(-F.col("_c"), F.col("source"), F.col("rec_ord"))).alias("title"), *first,
+        F.count("*").alias("n_records"), F.min_by("title", best).alias("title"), *first,
         *[F.max(c).alias(f"max_{c}") for c in maxima], *[F.array_sort(F.collect_set(c)).alias(f"all_{c}") for c in sets],
     )
 
 
+def references_of(resolved: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """(by, ref_ord, keys): the distinct references of each candidate in order of first occurrence; resolved: rec_ord and ``references``, an array of structs with the keys."""
+    each = resolved.select(by, "rec_ord", F.posexplode("references").alias("pos", "r")).select(by, "rec_ord", "pos", *[F.col(f"r.{k}").alias(k) for k in keys])
+    once = each.groupBy(by, *keys).agg(F.min(F.struct("rec_ord", "pos")).alias("o"))
+    return once.withColumn("ref_ord", F.row_number().over(Window.partitionBy(by).orderBy("o", *keys))).select(by, "ref_ord", *keys)
+
+
+def metadata_status(abstract: Column, year: Column, title: Column, authors: Column) -> Column:
+    """COMPLETE where all four say something (a year of 0 does not), else PARTIAL_METADATA."""
+    said = lambda c: F.coalesce(c != "", F.lit(False))
+    whole = said(abstract) & F.coalesce(year != 0, F.lit(False)) & said(title) & F.coalesce(F.size(authors) > 0, F.lit(False))
+    return F.when(whole, "COMPLETE").otherwise("PARTIAL_METADATA")
+
+
 def canonical_id(doi: Column, arxiv: Column, s2: Column, fallback: Column) -> Column:
     return F.coalesce(F.concat(F.lit("doi:"), doi), F.concat(F.lit("arxiv:"), arxiv), F.concat(F.lit("s2:"), s2), fallback)
 
@@ -92,17 +110,29 @@ def score_parts(papers: DataFrame, now: int) -> DataFrame:
     return parts.withColumn("score", total)
 
 
+#: Parts of a bucket that are ranked by themselves before the bucket is.
+PARTS = 64
+
+
 def quota_selection(scored: DataFrame, quotas: DataFrame, target: int) -> DataFrame:
-    """Rows (id, bucket, score) chosen by bucket minima, then greedily up to maxima, then beyond them, until ``target``.
+    """Rows (id, bucket, score) chosen by bucket minima, then greedily up to maxima, then beyond them, until ``target``, in order of id.
 
     Class 0: within the bucket's minimum; 1: within its maximum or without one; 2: the rest. All of class 0 stay, and of
     the others, by (class, -score, id), as many as are missing. quotas: bucket, lo, hi; a small table.
+
+    No choice reaches beyond the first lo + hi + target rows of a bucket. So parts of each bucket, dealt by a hash of the id, are ranked
+    first and keep so many rows each; a task never ranks a whole bucket.
     """
-    rn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "id"))
-    ranked = scored.join(F.broadcast(quotas), "bucket", "left").withColumn("rn", rn)
+    order = [F.desc("score"), F.asc("id")]
+    sized = scored.select("id", "bucket", "score").join(F.broadcast(quotas), "bucket", "left")
+    reach = F.coalesce("lo", F.lit(0)) + F.coalesce("hi", F.lit(0)) + target
+    part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(PARTS))
+    some = sized.withColumn("_r", F.row_number().over(Window.partitionBy("bucket", part).orderBy(*order))).where(F.col("_r") <= reach).drop("_r")
+    ranked = some.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
     classed = ranked.withColumn("class", F.when(F.col("rn") <= F.coalesce("lo", F.lit(0)), 0).when(F.col("hi").isNull() | (F.col("rn") <= F.col("hi")), 1).otherwise(2))
+    classed = written(classed.select("id", "bucket", "score", "class"), "classed")
     must = classed.where("class = 0")
     missing = max(0, target - must.count())
     # A global order and limit is a top-k: each task keeps at most ``missing`` rows.
-    rest = classed.where("class > 0").orderBy("class", F.desc("score"), "id").limit(missing)
-    return must.unionByName(rest).select("id", "bucket", "score", "class")
+    rest = classed.where("class > 0").orderBy("class", *order).limit(missing)
+    return must.unionByName(rest).orderBy("id")

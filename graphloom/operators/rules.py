@@ -1,33 +1,49 @@
-"""Edges from text by a declarative table of alias and cue rules; matching, de-duplication and numbering."""
+"""Edges from text by a declarative table of alias and cue rules; matching, de-duplication, provenance and numbering.
+
+Every rule gives evidence rows: one for each paper and entry at which it fires, with its provenance. ``edges_of`` makes one edge of all
+evidence rows of a triple: the first row in build order is its provenance, the later ones corroborate it and stay rows of their own, so
+that no triple gathers its provenance in one value.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``cue``: name of the cue that a sentence must hold beside an alias; ``one_owner``: labels that several approved entries claim fire nothing."""
+
     rule_id: str
     relation: str
     types: tuple[str, ...]
     cue: str
     title_counts: bool
     confidence: float
+    in_title: str
+    in_abstract: str
+    one_owner: bool = False
 
 
-# Ids, confidences and kinds of the rules.
+# Ids, confidences, kinds and decisions of the rules, in build order.
 RULES = (
-    Rule("addresses.exact_alias.v1", "ADDRESSES", ("problem", "concept"), "contribution", True, 0.75),
-    Rule("proposes.title_or_abstract_pattern.v1", "PROPOSES", ("method",), "contribution", True, 0.85),
-    Rule("uses.alias_in_usage_sentence.v1", "USES", ("method", "technique"), "use", False, 0.70),
-    Rule("evaluates_on.exact_alias.v1", "EVALUATES_ON", ("benchmark",), "result", True, 0.80),
-    Rule("compares_with.alias_in_comparison_sentence.v1", "COMPARES_WITH", ("method",), "compare", False, 0.65),
+    Rule("addresses.exact_alias.v1", "ADDRESSES", ("problem", "concept"), "contribution", True, 0.75, "alias in title", "alias in contribution sentence", True),
+    Rule("proposes.title_or_abstract_pattern.v1", "PROPOSES", ("method",), "contribution", True, 0.85, "method alias appears in title or proposal language", "method alias appears in title or proposal language"),
+    Rule("uses.alias_in_usage_sentence.v1", "USES", ("method", "technique"), "use", False, 0.70, "", "method/technique alias appears beside usage language"),
+    Rule("evaluates_on.exact_alias.v1", "EVALUATES_ON", ("benchmark",), "result", True, 0.80, "benchmark alias appears in title or evaluation language", "benchmark alias appears in title or evaluation language"),
+    Rule("compares_with.alias_in_comparison_sentence.v1", "COMPARES_WITH", ("method",), "compare", False, 0.65, "", "method alias appears beside comparison language"),
 )
+LIMITATION_RULE = ("reports_limitation.method_and_limitation_in_sentence.v1", 0.60, "method and limitation aliases appear with limitation language")
+CITES_CONFIDENCE = 0.95
+#: Columns of an evidence row behind source, relation, target: provenance type, field, rule, decision, evidence, reporting paper, attribution.
+PROVENANCE = ("kind", "source_field", "rule_id", "mapping_decision", "evidence", "source_paper", "attribution")
 
 #: First words of aliases that are read to the driver at most.
 FEW = 500
@@ -45,7 +61,9 @@ def term_matches(texts: DataFrame, aliases: DataFrame, text_col: str = "text") -
     first = [r[0] for r in keyed.select("_k").where("_k IS NOT NULL").distinct().limit(FEW + 1).collect()]
     if len(first) <= FEW:
         found = F.array_intersect(found, F.array(*map(F.lit, first)).cast("array<string>"))
-    words = texts.withColumn("_k", F.explode(F.array_union(found, F.array(F.lit("")))))
+    if len(first) > FEW or "" in first:
+        found = F.array_union(found, F.array(F.lit("")))
+    words = texts.withColumn("_k", F.explode(found))
     return words.join(keyed, "_k").where(T.matches(F.col(text_col), F.col("alias"))).drop("_k")
 
 
@@ -53,25 +71,40 @@ def sentence_rows(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select("*", F.posexplode(T.sentences(F.col(text_col))).alias("pos", "sentence")).drop(text_col)
 
 
+def single_owners(vocabulary: DataFrame) -> DataFrame:
+    """entity of every entry whose label (its first alias) is an alias of no other entry."""
+    low = vocabulary.select("entity", F.lower("alias").alias("a"))
+    owners = low.groupBy("a").agg(F.count_distinct("entity").alias("n"))
+    label = vocabulary.groupBy("entity").agg(F.lower(F.min_by("alias", F.struct("alias_ord", "alias"))).alias("a"))
+    return label.join(owners, "a").where("n <= 1").select("entity")
+
+
 def rule_edges(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(source, relation, target, rule_id, confidence, fragment) of every rule that fires; papers: id, title, abstract; vocabulary: entity, type, alias, alias_ord.
+    """Evidence rows of every rule that fires; papers: id, title, abstract; vocabulary (approved entries): entity, type, alias, alias_ord; also rule_ord.
 
     A rule fires where an alias stands in the title (if titles count) or with the rule's cue in one sentence; the first alias of an
-    entity wins, and the fragment is the title or the first sentence with that alias.
+    entity wins, and the evidence is the title or the first sentence with that alias. Titles and sentences are matched once for all rules.
     """
-    titles = term_matches(papers.select("id", F.col("title").alias("text")), vocabulary).select("id", "entity", "type", "alias", "alias_ord", F.lit(True).alias("in_title"), F.col("text").alias("fragment"))
+    titles = term_matches(papers.select("id", F.col("title").alias("text")), vocabulary).select("id", "entity", "type", "alias_ord", F.lit(True).alias("in_title"), F.col("text").alias("evidence"))
     rows = term_matches(sentence_rows(papers.select("id", F.col("abstract").alias("text"))).withColumnRenamed("sentence", "text"), vocabulary)
-    out = None
-    for r in rules:
-        mine = F.col("type").isin(*r.types)
-        said = rows.where(mine).groupBy("id", "entity", "alias", "alias_ord").agg(F.min_by("text", "pos").alias("fragment"), F.max(F.rlike("text", F.lit("(?i)" + cues[r.cue]))).alias("cued")).where("cued")
-        hits = said.select("id", "entity", "alias_ord", F.lit(False).alias("in_title"), "fragment")
-        if r.title_counts:
-            hits = hits.unionByName(titles.where(mine).select("id", "entity", "alias_ord", "in_title", "fragment"))
-        first = hits.groupBy("id", "entity").agg(F.min_by("fragment", F.struct("alias_ord", ~F.col("in_title"))).alias("fragment"))
-        one = first.select(F.col("id").alias("source"), F.lit(r.relation).alias("relation"), F.col("entity").alias("target"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.confidence).alias("confidence"), "fragment")
-        out = one if out is None else out.unionByName(one)
-    return out
+    cued = {c: F.max(F.rlike("text", F.lit("(?i)" + cues[c]))).alias(c) for c in dict.fromkeys(r.cue for r in rules)}
+    said = rows.groupBy("id", "entity", "type", "alias", "alias_ord").agg(F.min_by("text", "pos").alias("evidence"), *cued.values())
+    both = said.select("id", "entity", "type", "alias_ord", F.lit(False).alias("in_title"), "evidence", *cued)
+    both = both.unionByName(titles, allowMissingColumns=True)
+    fires = F.array(*[
+        F.when(F.col("type").isin(*r.types) & (F.col("in_title") if r.title_counts else F.lit(False)) | F.col("type").isin(*r.types) & ~F.col("in_title") & F.coalesce(F.col(r.cue), F.lit(False)), F.lit(k)) for k, r in enumerate(rules)
+    ])
+    hits = both.select("id", "entity", "alias_ord", "in_title", "evidence", F.explode(F.filter(fires, lambda k: k.isNotNull())).alias("rule_ord"))
+    first = hits.groupBy("id", "entity", "rule_ord").agg(F.min_by(F.struct("in_title", "evidence"), F.struct("alias_ord", ~F.col("in_title"))).alias("w"))
+    guarded = [k for k, r in enumerate(rules) if r.one_owner]
+    if guarded:
+        first = first.join(single_owners(vocabulary).withColumn("_one", F.lit(True)), "entity", "left").where(~F.col("rule_ord").isin(*guarded) | F.col("_one").isNotNull())
+    of = lambda f: F.get(F.array(*[F.lit(f(r)) for r in rules]), F.col("rule_ord"))
+    return first.select(
+        F.col("id").alias("source"), of(lambda r: r.relation).alias("relation"), F.col("entity").alias("target"), of(lambda r: r.confidence).alias("confidence"), F.lit("RULE_DERIVED").alias("kind"),
+        F.when(F.col("w.in_title"), "title").otherwise("abstract").alias("source_field"), of(lambda r: r.rule_id).alias("rule_id"), F.when(F.col("w.in_title"), of(lambda r: r.in_title)).otherwise(of(lambda r: r.in_abstract)).alias("mapping_decision"),
+        F.col("w.evidence").alias("evidence"), F.col("id").alias("source_paper"), F.lit(None).cast("string").alias("attribution"), "rule_ord",
+    )
 
 
 def cooccurrences(sentence_hits_a: DataFrame, sentence_hits_b: DataFrame) -> DataFrame:
@@ -81,30 +114,84 @@ def cooccurrences(sentence_hits_a: DataFrame, sentence_hits_b: DataFrame) -> Dat
     return a.join(b, ["id", "pos"]).where("a <> b").groupBy("id", "a", "b").agg(F.min("pos").alias("pos"))
 
 
-def limitation_edges(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str]) -> DataFrame:
-    """(source, relation, target, source_paper, attribution, rule_id, confidence, fragment): methods that report a limitation, by paper.
+def limitation_edges(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str], proposals: DataFrame | None = None) -> DataFrame:
+    """Evidence rows of methods that report a limitation, by paper (REPORTS_LIMITATION).
 
     Fires at the first sentence of the abstract with a limitation's label (its first alias), any alias of a method and the cue of limitations;
-    SELF_REPORTED where the paper proposes that method, else THIRD_PARTY. papers and vocabulary as for ``rule_edges``.
+    SELF_REPORTED where the paper proposes that method, else THIRD_PARTY. papers and vocabulary as for ``rule_edges``; ``proposals``: its PROPOSES rows, if made already.
     """
     label = vocabulary.where("type = 'limitation'").groupBy("entity").agg(F.min_by("alias", F.struct("alias_ord", "alias")).alias("alias"))
     terms = vocabulary.where("type = 'method'").select("entity", "alias", F.lit(True).alias("method")).unionByName(label.select("entity", "alias", F.lit(False).alias("method")))
     cued = sentence_rows(papers.select("id", F.col("abstract").alias("text"))).withColumnRenamed("sentence", "text").where(F.rlike("text", F.lit("(?i)" + cues["limitation"])))
     rows = term_matches(cued, terms)
     both = rows.where("method").select("id", "pos", "text", F.col("entity").alias("source")).join(rows.where("NOT method").select("id", "pos", F.col("entity").alias("target")), ["id", "pos"])
-    first = both.groupBy("id", "source", "target").agg(F.min_by("text", "pos").alias("fragment"))
-    own = rule_edges(papers, vocabulary, cues, tuple(r for r in RULES if r.relation == "PROPOSES")).select(F.col("source").alias("id"), F.col("target").alias("source"), F.lit("SELF_REPORTED").alias("own"))
+    first = both.groupBy("id", "source", "target").agg(F.min_by("text", "pos").alias("evidence"))
+    if proposals is None:
+        proposals = rule_edges(papers, vocabulary, cues, tuple(r for r in RULES if r.relation == "PROPOSES"))
+    own = proposals.select(F.col("source").alias("id"), F.col("target").alias("source"), F.lit("SELF_REPORTED").alias("own")).distinct()
+    rule, confidence, decision = LIMITATION_RULE
     return first.join(own, ["id", "source"], "left").select(
-        "source", F.lit("REPORTS_LIMITATION").alias("relation"), "target", F.col("id").alias("source_paper"), F.coalesce("own", F.lit("THIRD_PARTY")).alias("attribution"),
-        F.lit("reports_limitation.method_and_limitation_in_sentence.v1").alias("rule_id"), F.lit(0.6).alias("confidence"), "fragment",
+        "source", F.lit("REPORTS_LIMITATION").alias("relation"), "target", F.lit(confidence).alias("confidence"), F.lit("RULE_DERIVED").alias("kind"), F.lit("abstract").alias("source_field"), F.lit(rule).alias("rule_id"),
+        F.lit(decision).alias("mapping_decision"), "evidence", F.col("id").alias("source_paper"), F.coalesce("own", F.lit("THIRD_PARTY")).alias("attribution"), F.lit(len(RULES)).alias("rule_ord"),
+    )
+
+
+def citation_evidence(cites: DataFrame) -> DataFrame:
+    """Evidence rows of citations (citing, target, ref_ord, evidence) that reference lists state."""
+    none = F.lit(None).cast("string")
+    return cites.select(
+        F.col("citing").alias("source"), F.lit("CITES").alias("relation"), "target", F.lit(CITES_CONFIDENCE).alias("confidence"), F.lit("EXPLICIT_METADATA").alias("kind"), F.lit("references").alias("source_field"), none.alias("rule_id"),
+        none.alias("mapping_decision"), "evidence", F.col("citing").alias("source_paper"), none.alias("attribution"), F.lit(-1).alias("rule_ord"), F.col("ref_ord").cast("long").alias("ref_ord"),
     )
 
 
+def curated_evidence(curated: DataFrame) -> DataFrame:
+    """Evidence rows of approved curated edges (ord, source, relation, target, passage, paper, attribution, status)."""
+    none = F.lit(None).cast("string")
+    return curated.where("status = 'APPROVED'").select(
+        "source", "relation", "target", F.lit(1.0).alias("confidence"), F.lit("MANUALLY_CURATED").alias("kind"), F.lit("curation_file").alias("source_field"), none.alias("rule_id"), none.alias("mapping_decision"),
+        F.col("passage").alias("evidence"), F.col("paper").alias("source_paper"), "attribution", F.lit(len(RULES) + 1).alias("rule_ord"), F.col("ord").cast("long").alias("ref_ord"),
+    )
+
+
+def build_evidence(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str], cites: DataFrame | None = None, curated: DataFrame | None = None) -> DataFrame:
+    """All evidence rows of a knowledge build: citations, rules, limitations, curated edges.
+
+    papers: id, paper_ord, title, abstract; vocabulary (approved entries): entity, type, alias, alias_ord, entry_ord; cites: citing, target, ref_ord, evidence. Build order is
+    (phase, paper_ord, rule_ord, first entry, second entry): all citations come first, curated edges last.
+    """
+    ruled = rule_edges(papers, vocabulary, cues)
+    parts = [ruled, limitation_edges(papers, vocabulary, cues, ruled.where("relation = 'PROPOSES'"))]
+    if cites is not None:
+        parts.append(citation_evidence(cites))
+    if curated is not None:
+        parts.append(curated_evidence(curated))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, parts[0].limit(0).withColumn("ref_ord", F.lit(None).cast("long"))])
+    entry = vocabulary.select("entity", "entry_ord").distinct()
+    placed = rows.join(papers.select(F.col("id").alias("source_paper"), "paper_ord"), "source_paper", "left")
+    limits = F.col("relation") == "REPORTS_LIMITATION"
+    for name, end in (("first", "target"), ("second", "source")):
+        placed = placed.join(entry.select(F.col("entity").alias(end), F.col("entry_ord").alias(f"{name}_ord")), end, "left")
+    phase = F.when(F.col("rule_ord") < 0, 0).when(F.col("rule_ord") > len(RULES), 2).otherwise(1)
+    place = {"paper_ord": F.col("paper_ord"), "rule_ord": F.col("rule_ord"), "first_ord": F.coalesce("ref_ord", "first_ord"), "second_ord": F.when(limits, F.col("second_ord"))}
+    return placed.select("source", "relation", "target", "confidence", *PROVENANCE, phase.alias("phase"), *[F.coalesce(c.cast("long"), F.lit(-1)).alias(n) for n, c in place.items()])
+
+
+ORDER = ("phase", "paper_ord", "rule_ord", "first_ord", "second_ord", "source", "target")
+
+
+def edges_of(evidence: DataFrame, width: int = 4) -> DataFrame:
+    """One edge for each triple, numbered by its first evidence row in build order: edge_id, source, relation, target, confidence, provenance of that row, corroborating (later rows)."""
+    first = F.min_by(F.struct("confidence", *PROVENANCE), F.struct(*ORDER))
+    rows = evidence.groupBy("source", "relation", "target").agg(first.alias("p"), F.min(F.struct(*ORDER)).alias("o"), (F.count("*") - 1).alias("corroborating"))
+    rows = rows.select("source", "relation", "target", "p.*", "corroborating", "o")
+    return number(rows, ["o"], width).select("edge_id", "source", "relation", "target", "confidence", *PROVENANCE, "corroborating")
+
+
 def accumulate(edges: DataFrame) -> DataFrame:
-    """One row per (source, relation, target): provenance of the least ``ord`` first, the later ones as corroboration."""
-    kept = F.array_sort(F.collect_list(F.struct("ord", "provenance")))
-    rows = edges.groupBy("source", "relation", "target").agg(kept.alias("_p"))
-    return rows.select("source", "relation", "target", F.col("_p")[0]["ord"].alias("ord"), F.col("_p")[0]["provenance"].alias("provenance"), F.transform(F.slice("_p", 2, 2**30), lambda p: p["provenance"]).alias("corroborating"))
+    """One row per (source, relation, target): provenance of the least ``ord``, and how many later rows corroborate it."""
+    rows = edges.groupBy("source", "relation", "target").agg(F.min("ord").alias("ord"), F.min_by("provenance", F.struct("ord", "provenance")).alias("provenance"), (F.count("*") - 1).alias("corroborating"))
+    return rows
 
 
 def number(edges: DataFrame, order: list[str], width: int = 4) -> DataFrame:
@@ -113,8 +200,6 @@ def number(edges: DataFrame, order: list[str], width: int = 4) -> DataFrame:
     Rows are dealt by ranges of the order; each row's number is its rank in its range and the rows of all ranges before.
     """
     ranged = edges.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    from ..session import written
-
     ranged = written(ranged, "ranges")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("n"))
     base = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("base"))  # one row for each range

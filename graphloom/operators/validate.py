@@ -1,4 +1,9 @@
-"""Integrity constraints: every check is a query that returns its violations (code, location, severity)."""
+"""Integrity constraints: every check is a query that returns its violations (code, location, severity).
+
+Entities: id, type, and ``attributes`` (map of strings) where attributes are checked. Edges: source, relation, target, and edge_id where they
+are numbered. Provenance rows: the edge's columns with kind, source_paper, evidence, attribution, versions; the primary and all
+corroborating ones alike. ``spec`` is a relation table and ``types`` a type table of ``operators.ontology``; both are small.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Fields of bibliographic metadata and of text, statuses of papers.
+METADATA_FIELDS = ("authors", "year", "venue", "identifiers", "references", "citations")
+TEXT_FIELDS = ("title", "abstract", "citation_context")
+IDENTITY_STATUS, METADATA_STATUS = ("RESOLVED", "AMBIGUOUS"), ("COMPLETE", "PARTIAL_METADATA")
+
 
 def issues(df: DataFrame, code: str, location: Column, severity: str = "ERROR") -> DataFrame:
     return df.select(F.lit(code).alias("code"), location.cast("string").alias("location"), F.lit(severity).alias("severity"))
 
 
+def union(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def duplicates(df: DataFrame, keys: list[str], code: str) -> DataFrame:
     """One violation for each key that occurs more than once."""
     return issues(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), code, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
@@ -23,30 +37,75 @@ def triple() -> Column:
     return F.concat_ws("|", "source", "relation", "target")
 
 
-def entity_checks(entities: DataFrame, spec: DataFrame) -> DataFrame:
-    """entities: id, type, status; spec: type, prefix (small)."""
-    wrong = entities.join(F.broadcast(spec.select(F.col("type").alias("t"), "prefix")), F.col("type") == F.col("t"), "left")
+def _at(df: DataFrame) -> Column:
+    return F.col("edge_id") if "edge_id" in df.columns else triple()
+
+
+def version_checks(states: DataFrame, ontology: str, schema: str) -> DataFrame:
+    """states: state, ontology_version, schema_version, content_sha256 (as stored), actual_sha256 (as computed)."""
+    at = F.col("state")
+    return union(
+        issues(states.where(~F.col("ontology_version").eqNullSafe(F.lit(ontology))), "KS_ONTOLOGY_VERSION", at), issues(states.where(~F.col("schema_version").eqNullSafe(F.lit(schema))), "KS_SCHEMA_VERSION", at),
+        issues(states.where(~F.col("content_sha256").eqNullSafe(F.col("actual_sha256"))), "KS_INTEGRITY", at),
+    )
+
+
+def entity_checks(entities: DataFrame, types: DataFrame) -> DataFrame:
+    """Repeated, malformed and misprefixed ids, required attributes that say nothing, unknown statuses of papers. Repeated ids are only reported as such."""
+    once = entities.groupBy("id").agg(F.first("type").alias("type"), F.first("attributes").alias("attributes"), F.count("*").alias("n")).where("n = 1")
+    prefix = T.entity_type(F.col("id"))
+    good = once.where(prefix.isNotNull())
+    by_prefix = good.join(F.broadcast(types.select(F.col("prefix").alias("p"), F.col("type").alias("of"))), prefix == F.col("p"), "left")
+    needed = good.join(F.broadcast(types.select(F.col("type").alias("t"), "required")), F.col("type") == F.col("t")).select("id", F.explode("required").alias("a"), "attributes")
+    wrong = lambda name, allowed: F.col("attributes")[name].isNotNull() & ~F.col("attributes")[name].isin(*allowed)
     return union(
-        duplicates(entities, ["id"], "ENT_DUP_ID"), issues(entities.where(T.entity_type(F.col("id")).isNull()), "ENT_ID_FORMAT", F.col("id")),
-        issues(wrong.where(T.entity_type(F.col("id")).isNotNull() & ~F.coalesce(T.entity_type(F.col("id")) == F.col("prefix"), F.lit(False))), "ENT_PREFIX_MISMATCH", F.col("id")),
-        issues(entities.where(~F.coalesce(F.col("status").isin("COMPLETE", "PARTIAL"), F.lit(False))), "ENT_BAD_STATUS", F.col("id")),
+        duplicates(entities, ["id"], "ENT_DUP_ID"), issues(once.where(prefix.isNull()), "ENT_ID_FORMAT", F.col("id")), issues(by_prefix.where(~F.col("of").eqNullSafe(F.col("type"))), "ENT_PREFIX_MISMATCH", F.col("id")),
+        issues(needed.where(F.coalesce(F.try_element_at("attributes", F.col("a")), F.lit("")) == ""), "ENT_MISSING_ATTR", F.concat_ws("|", "id", "a")),
+        issues(good.where((F.col("type") == "paper") & wrong("identity_status", IDENTITY_STATUS)), "ENT_BAD_STATUS", F.concat(F.col("id"), F.lit("|identity_status"))),
+        issues(good.where((F.col("type") == "paper") & wrong("metadata_status", METADATA_STATUS)), "ENT_BAD_STATUS", F.concat(F.col("id"), F.lit("|metadata_status"))),
     )
 
 
 def unknown_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges with an end that is no entity, by anti-join."""
+    """Edges with an end that is no entity: ends are looked up once each, by a left join of entity ids."""
     ids = entities.select(F.col("id").alias("i")).distinct()
     lost = edges.join(ids, F.col("source") == F.col("i"), "left_anti").select("source", "relation", "target").union(edges.join(ids, F.col("target") == F.col("i"), "left_anti").select("source", "relation", "target"))
     return issues(lost.distinct(), "EDGE_UNKNOWN_ENDPOINT", triple())
 
 
-def domain_range(edges: DataFrame, spec: DataFrame) -> DataFrame:
-    """spec: relation, domain, range (arrays), status; small. Relations that are not ACTIVE are not checked further."""
-    typed = edges.join(F.broadcast(spec), "relation", "left").withColumns({"st": T.entity_type(F.col("source")), "tt": T.entity_type(F.col("target"))})
-    active = typed.where("status = 'ACTIVE'")
+def typed(edges: DataFrame, entities: DataFrame, spec: DataFrame) -> DataFrame:
+    """edges with their relation's spec and the types of their ends as the entity rows have them (st, tt; null for an unknown end)."""
+    kind = entities.groupBy("id").agg(F.min("type").alias("type"))
+    out = edges.join(F.broadcast(spec), "relation", "left")
+    for end, name in (("source", "st"), ("target", "tt")):
+        out = out.join(kind.select(F.col("id").alias(end), F.col("type").alias(name)), end, "left")
+    return out
+
+
+def edge_checks(edges: DataFrame, entities: DataFrame, spec: DataFrame) -> DataFrame:
+    """All checks of edges as such. A relation that is not stored ends an edge's checks, and so does an unknown end (behind the self-loop)."""
+    rows, at = typed(edges, entities, spec), _at(edges)
+    active = rows.where("status = 'ACTIVE'")
+    known = active.where("st IS NOT NULL AND tt IS NOT NULL")
+    mirrored = known.where("mirror_of IS NOT NULL").join(edges.select(F.col("source").alias("ms"), F.col("relation").alias("mr"), F.col("target").alias("mt")), F.expr("mirror_of = mr AND source = mt AND target = ms"), "left_semi")
+    parts = [
+        duplicates(edges, ["source", "relation", "target"], "EDGE_DUP_TRIPLE"), issues(rows.where("status IS NULL OR status <> 'ACTIVE'"), "EDGE_RELATION_NOT_STORABLE", at), issues(active.where("source = target"), "EDGE_SELF_LOOP", at),
+        issues(active.where("st IS NULL OR tt IS NULL"), "EDGE_UNKNOWN_ENDPOINT", at), issues(known.where("NOT array_contains(domain, st)"), "EDGE_DOMAIN", at), issues(known.where("NOT array_contains(range, tt)"), "EDGE_RANGE", at),
+        issues(known.where("symmetric AND source > target"), "EDGE_SYMMETRIC_ORDER", at), issues(mirrored, "EDGE_MIRROR_CONFLICT", at),
+    ]
+    if "edge_id" in edges.columns:
+        parts.append(duplicates(edges, ["edge_id"], "EDGE_DUP_ID"))
+    return union(*parts)
+
+
+def domain_range(edges: DataFrame, spec: DataFrame, entities: DataFrame) -> DataFrame:
+    """The part of ``edge_checks`` on relations and types; ``spec`` may hold relation, domain, range and status alone."""
+    rows = typed(edges, entities, spec)
+    active = rows.where("status = 'ACTIVE'")
+    known = active.where("st IS NOT NULL AND tt IS NOT NULL")
     return union(
-        issues(typed.where("status IS NULL OR status <> 'ACTIVE'"), "EDGE_RELATION_NOT_STORABLE", triple()), issues(active.where("source = target"), "EDGE_SELF_LOOP", triple()),
-        issues(active.where("st IS NOT NULL AND NOT array_contains(domain, st)"), "EDGE_DOMAIN", triple()), issues(active.where("tt IS NOT NULL AND NOT array_contains(range, tt)"), "EDGE_RANGE", triple()),
+        issues(rows.where("status IS NULL OR status <> 'ACTIVE'"), "EDGE_RELATION_NOT_STORABLE", triple()), issues(active.where("source = target"), "EDGE_SELF_LOOP", triple()),
+        issues(known.where("NOT array_contains(domain, st)"), "EDGE_DOMAIN", triple()), issues(known.where("NOT array_contains(range, tt)"), "EDGE_RANGE", triple()),
     )
 
 
@@ -60,50 +119,75 @@ def symmetric_mirror(edges: DataFrame, symmetric: list[str], mirrors: dict[str,
 
 
 def attribution(edges: DataFrame) -> DataFrame:
-    """A limitation is self-reported exactly where its source paper proposes the method. edges: source, relation, target, source_paper, attribution."""
+    """A limitation is self-reported exactly where its source paper proposes the method; a missing attribution is a violation of its own.
+
+    edges: source, relation, target, source_paper, attribution.
+    """
     proposed = edges.where("relation = 'PROPOSES'").select(F.col("source").alias("pp"), F.col("target").alias("pm")).distinct()
     limits = edges.where("relation = 'REPORTS_LIMITATION'").join(proposed, (F.col("source_paper") == F.col("pp")) & (F.col("source") == F.col("pm")), "left")
-    wrong = limits.where((F.col("attribution") == "SELF_REPORTED") != F.col("pp").isNotNull())
-    return issues(wrong, "EDGE_ATTRIBUTION_INCONSISTENT", triple())
-
-
-def provenance_checks(edges: DataFrame, allowed: DataFrame) -> DataFrame:
-    """edges: source, relation, target, provenance, corroborating; allowed: relation, kinds (array), needs_source, needs_evidence; small."""
-    rows = edges.select("source", "relation", "target", F.explode(F.concat(F.array("provenance"), "corroborating")).alias("p")).join(F.broadcast(allowed), "relation", "left")
+    wrong = limits.where(F.col("source_paper").isNotNull() & ((F.col("attribution") == "SELF_REPORTED") != F.col("pp").isNotNull()))
+    return union(issues(wrong, "EDGE_ATTRIBUTION_INCONSISTENT", triple()), issues(limits.where("attribution IS NULL"), "EDGE_ATTRIBUTION_REQUIRED", triple()))
+
+
+def provenance_checks(rows: DataFrame, entities: DataFrame, spec: DataFrame, ontology: str, build: str) -> DataFrame:
+    """All checks of provenance rows (source, relation, target, kind, source_paper, evidence, attribution, ontology_version, build_version) of edges that
+    pass the checks which end an edge's own."""
+    at = _at(rows)
+    full = typed(rows, entities, spec).where("status = 'ACTIVE' AND st IS NOT NULL AND tt IS NOT NULL")
+    paper = entities.where("type = 'paper'").select(F.col("id").alias("pid")).distinct()
+    proposed = rows.where("relation = 'PROPOSES'").select(F.col("source").alias("pp"), F.col("target").alias("pm")).distinct()
+    named = full.where("needs_source AND coalesce(source_paper, '') <> ''").join(paper, F.col("source_paper") == F.col("pid"), "left")
+    said = full.where("needs_attribution AND attribution IS NOT NULL AND coalesce(source_paper, '') <> ''").join(proposed, F.expr("source_paper = pp AND source = pm"), "left")
     return union(
-        issues(rows.where("NOT coalesce(array_contains(kinds, p.kind), false)"), "EDGE_PROVENANCE_NOT_ALLOWED", triple()),
-        issues(rows.where("needs_source AND p.source_paper IS NULL"), "EDGE_SOURCE_PAPER_REQUIRED", triple()),
-        issues(rows.where("needs_evidence AND coalesce(p.evidence, '') = ''"), "EDGE_EVIDENCE_REQUIRED", triple()),
+        issues(full.where("NOT coalesce(array_contains(allowed, kind), false)"), "EDGE_PROVENANCE_NOT_ALLOWED", at),
+        issues(full.where(~(F.col("ontology_version").eqNullSafe(F.lit(ontology)) & F.col("build_version").eqNullSafe(F.lit(build)))), "EDGE_PROV_VERSION", at),
+        issues(full.where("attribution IS NOT NULL AND NOT needs_attribution"), "EDGE_ATTRIBUTION_FORBIDDEN", at), issues(full.where("needs_source AND coalesce(source_paper, '') = ''"), "EDGE_SOURCE_PAPER_REQUIRED", at),
+        issues(named.where("pid IS NULL"), "EDGE_SOURCE_PAPER_INVALID", at), issues(full.where("needs_evidence AND coalesce(evidence, '') = ''"), "EDGE_EVIDENCE_REQUIRED", at),
+        issues(full.where("needs_attribution AND attribution IS NULL"), "EDGE_ATTRIBUTION_REQUIRED", at),
+        issues(said.where("(attribution = 'SELF_REPORTED' AND pp IS NULL) OR (attribution = 'THIRD_PARTY' AND pp IS NOT NULL)"), "EDGE_ATTRIBUTION_INCONSISTENT", at),
     )
 
 
+def provenance_shape(rows: DataFrame) -> DataFrame:
+    """What each kind of provenance must and must not carry. rows: row_id, kind, source_field, rule_id, mapping_decision, evidence, curated_by, curation_ref."""
+    no = lambda *cs: " AND ".join(f"coalesce({c}, '') = ''" for c in cs)
+    some = lambda *cs: " OR ".join(f"coalesce({c}, '') = ''" for c in cs)
+    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    rules = [
+        ("PROV_METADATA_FIELD", f"kind = 'EXPLICIT_METADATA' AND NOT coalesce(source_field IN ({listed(METADATA_FIELDS)}), false)"), ("PROV_METADATA_EXTRA", f"kind = 'EXPLICIT_METADATA' AND NOT ({no('rule_id', 'curated_by', 'curation_ref')})"),
+        ("PROV_RULE_MISSING", f"kind = 'RULE_DERIVED' AND ({some('rule_id', 'mapping_decision', 'evidence')})"), ("PROV_RULE_FIELD", f"kind = 'RULE_DERIVED' AND NOT coalesce(source_field IN ({listed(TEXT_FIELDS)}), false)"),
+        ("PROV_RULE_EXTRA", f"kind = 'RULE_DERIVED' AND NOT ({no('curated_by', 'curation_ref')})"), ("PROV_CURATED_MISSING", f"kind = 'MANUALLY_CURATED' AND ({some('curated_by', 'curation_ref')})"),
+        ("PROV_CURATED_FIELD", "kind = 'MANUALLY_CURATED' AND NOT coalesce(source_field = 'curation_file', false)"), ("PROV_CURATED_EXTRA", "kind = 'MANUALLY_CURATED' AND coalesce(rule_id, '') <> ''"),
+        ("PROV_KIND", "NOT coalesce(kind IN ('EXPLICIT_METADATA', 'RULE_DERIVED', 'MANUALLY_CURATED'), false)"),
+    ]
+    return union(*[issues(rows.where(cond), code, F.col("row_id")) for code, cond in rules])
+
+
 def undeclared_ambiguity(aliases: DataFrame, declared: DataFrame) -> DataFrame:
     """Aliases with several owners whose owners are not exactly the declared candidates. declared: alias, candidates (array)."""
     owners = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.array_sort(F.collect_set("entity")).alias("owners")).where("size(owners) > 1")
-    said = declared.select(F.lower("alias").alias("alias"), F.array_sort("candidates").alias("candidates"))
+    said = declared.select(F.lower("alias").alias("alias"), F.array_sort(F.array_distinct("candidates")).alias("candidates"))
     return issues(owners.join(said, "alias", "left").where("NOT coalesce(owners = candidates, false)"), "VOCAB_UNDECLARED_AMBIGUITY", F.col("alias"))
 
 
-def missing_candidates(declared: DataFrame, entities: DataFrame) -> DataFrame:
-    lost = declared.select(F.explode("candidates").alias("c")).join(entities, F.col("c") == F.col("id"), "left_anti")
-    return issues(lost, "AMB_UNKNOWN_CANDIDATE", F.col("c"))
+def missing_candidates(declared: DataFrame, entities: DataFrame, code: str = "AMB_UNKNOWN_CANDIDATE") -> DataFrame:
+    """Candidates of declared ambiguous terms (alias, candidates) that are no entity (id): one violation for each term."""
+    each = declared.select("alias", F.explode("candidates").alias("c"))
+    lost = each.join(entities.select(F.col("id").alias("c")).distinct(), "c", "left_anti")
+    return issues(lost.select("alias").distinct(), code, F.col("alias"))
 
 
-def facet_checks(facets: DataFrame, least_words: int) -> DataFrame:
-    """Facet texts that are too short, show an id of the graph or a snake_case name. facets: facet_id, text."""
-    t = F.col("text")
+def config_checks(weights: DataFrame, ranges: DataFrame, keys: DataFrame, known: DataFrame) -> DataFrame:
+    """Constraints of a configuration: weights (name, value) at least 0 that add up to 1, ranges (name, lo, hi) in order, keys (name) that are known (name)."""
+    total = weights.agg(F.sum("value").alias("s")).where("abs(s - 1) > 1e-9 OR s IS NULL")
     return union(
-        issues(facets.where(T.word_count(t) < least_words), "GOLD_FACET_SHORT", F.col("facet_id")),
-        issues(facets.where(F.rlike(t, F.lit(r"(?:^|[^a-z])(?:paper|method|concept|problem|benchmark|technique):[a-z0-9]|[a-z]+_[a-z]+"))), "GOLD_ONTOLOGY_LEAK", F.col("facet_id")),
-    )
-
-
-def union(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+        issues(weights.where("value IS NULL OR value < 0"), "CFG_WEIGHT_NEGATIVE", F.col("name")), issues(total, "CFG_WEIGHT_SUM", F.lit("weights")), issues(ranges.where("lo > hi"), "CFG_RANGE", F.col("name")),
+        issues(keys.join(known, "name", "left_anti"), "CFG_UNKNOWN_KEY", F.col("name")),
+    )
 
 
-def assert_valid(found: DataFrame) -> None:
+def assert_valid(found: DataFrame, most: int = 20) -> None:
     """Raises with the first errors; warnings pass."""
-    errors = found.where("severity = 'ERROR'").limit(20).collect()
+    errors = found.where("severity = 'ERROR'").orderBy("code", "location").limit(most).collect()
     if errors:
         raise ValueError("; ".join(f"{e['code']} at {e['location']}" for e in errors))

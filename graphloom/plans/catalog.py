@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,32 +14,16 @@ from ..operators import rules as U
 from ..operators import tuning as N
 from ..operators import validate as V
 from . import views as W
+from .registry import ORACLE_SQL, QUERIES, query
 from .views import with_
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 #: Words that the invented prose holds, in the place of English cues and markers.
 CUES = {"contribution": r"\b(?:ver|ción|pour)\b", "use": r"\b(?:in|de|der)\b", "result": r"\b(?:and|la)\b", "compare": r"\b(?:the|le)\b", "limitation": r"\b(?:to|en)\b"}
-MARKERS = ["not ", "nicht", "pas ", "the and attion"]
 STOP = ["erher", "about", "there"]
 
 
-def query(sql: str | None = None):
-    """Registers a query; whole numbers become longs, so that both engines return one type."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            df = f(spark, d)
-            return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def docs(s: SparkSession, d: str) -> DataFrame:
     return W.table(s, d, "documents")
 
@@ -52,7 +34,7 @@ def normalize_identifiers(s, d):
     return W.table(s, d, "pages").select("page_id", T.normalize_doi(u).alias("doi"), T.normalize_arxiv(u).alias("arxiv"), T.normalize_s2(u).alias("s2"), T.slug(u).alias("slug"))
 
 
-_FOLD = "regexp_replace(translate(lower(split_part(text, chr(10), 1)), 'áàâäãåéèêëíìîïóòôöõúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[^\\x00-\\x7F]', '', 'g')"
+_FOLD = "regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[^\\x00-\\x7F]', '', 'g')"
 
 
 @query(f"SELECT doc_id, trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')) AS title, 'title:' || trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')) || ':' || (CASE WHEN n_chars = 0 THEN 'unknown' ELSE n_chars::VARCHAR END) || ':' || source AS fbk FROM documents")
@@ -169,9 +151,9 @@ def seed_coverage(s, d):
     return g.withColumn("cover", F.when(F.col("candidates") >= 20, "strong").when(F.col("candidates") >= 10, "fair").otherwise("weak"))
 
 
-@query("SELECT doc_id, coalesce(contains(lower(text), 'not ') OR contains(lower(text), 'nicht') OR contains(lower(text), 'pas ') OR contains(lower(text), 'the and attion'), false) AS marked FROM documents")
+@query(with_("ab", "SELECT id, coalesce(" + " OR ".join(f"contains(lower(abstract), '{m}')" for m in T.LIMITATION_MARKERS) + ", false) AS marked FROM ab"))
 def limitation_markers(s, d):
-    return docs(s, d).select("doc_id", T.any_marker(F.col("text"), MARKERS).alias("marked"))
+    return W.abstracts(s, d).select("id", T.any_marker(F.col("abstract"), T.LIMITATION_MARKERS).alias("marked"))
 
 
 def _scored(s, d):
@@ -181,10 +163,10 @@ def _scored(s, d):
     return p.withColumn("bucket", T.year_bucket(F.col("year"), 1996, 2000)).withColumn("score", F.round("score", 9))
 
 
-_SCORED = with_("paper cites degree", "SELECT p.id, CASE WHEN year IS NULL THEN 'unknown' WHEN year <= 1996 THEN 'early' WHEN year < 2000 THEN 'middle' ELSE 'late' END AS bucket, CAST(10 AS DOUBLE) + citation_count + CAST(0.5 AS DOUBLE) * reference_count + CAST(2 AS DOUBLE) * coalesce(degree, 0) + (CASE WHEN year >= 2001 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS score FROM paper p LEFT JOIN degree d ON p.id = d.id")
+_SCORED = with_("paper cites degree", "SELECT id, bucket, round(seed_hits + citation_count + reference_count + in_pool_citation_degree + recency, 9) AS score, round(seed_hits, 9) AS seed_hits, round(citation_count, 9) AS citation_count, round(reference_count, 9) AS reference_count, round(in_pool_citation_degree, 9) AS in_pool_citation_degree, round(recency, 9) AS recency FROM (SELECT p.id, CASE WHEN year IS NULL THEN 'unknown' WHEN year <= 1996 THEN 'early' WHEN year < 2000 THEN 'middle' ELSE 'late' END AS bucket, CAST(CASE WHEN seed IS NULL THEN 0 ELSE 10 END AS DOUBLE) AS seed_hits, ln(CAST(1 AS DOUBLE) + citation_count) AS citation_count, CAST(0.5 AS DOUBLE) * ln(CAST(1 AS DOUBLE) + reference_count) AS reference_count, CAST(2 AS DOUBLE) * coalesce(degree, 0) AS in_pool_citation_degree, CAST(CASE WHEN year >= 2001 THEN 1 ELSE 0 END AS DOUBLE) AS recency FROM paper p LEFT JOIN degree d ON p.id = d.id)")
 
 
-@query(f"SELECT id, score FROM ({_SCORED})")
+@query(f"SELECT * EXCLUDE (bucket) FROM ({_SCORED})")
 def candidate_score_parts(s, d):
     return _scored(s, d).select("id", "score", *[F.round(f"parts.{n}", 9).alias(n) for n in I.SCORE])
 
@@ -194,7 +176,7 @@ def year_bucket_counts(s, d):
     return _scored(s, d).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH q AS (SELECT * FROM (VALUES ('early', 8, 10), ('middle', 20, 25), ('late', 35, 40)) AS v(bucket, lo, hi)), x AS (SELECT s.*, lo, hi, row_number() OVER (PARTITION BY s.bucket ORDER BY score DESC, id) AS rn FROM ({_SCORED}) s LEFT JOIN q ON q.bucket = s.bucket), y AS (SELECT *, CASE WHEN rn <= coalesce(lo, 0) THEN 0 WHEN hi IS NULL OR rn <= hi THEN 1 ELSE 2 END AS class FROM x), z AS (SELECT *, row_number() OVER (ORDER BY class, score DESC, id) AS g FROM y) SELECT id, bucket, score, class::BIGINT AS class FROM z WHERE class = 0 OR g <= 70")
+@query(f"WITH q AS (SELECT * FROM (VALUES ('early', 8, 10), ('middle', 20, 25), ('late', 35, 40)) AS v(bucket, lo, hi)), x AS (SELECT s.id, s.bucket, s.score, lo, hi, row_number() OVER (PARTITION BY s.bucket ORDER BY score DESC, id) AS rn FROM ({_SCORED}) s LEFT JOIN q ON q.bucket = s.bucket), y AS (SELECT *, CASE WHEN rn <= coalesce(lo, 0) THEN 0 WHEN hi IS NULL OR rn <= hi THEN 1 ELSE 2 END AS class FROM x), z AS (SELECT *, row_number() OVER (ORDER BY class, score DESC, id) AS g FROM y) SELECT id, bucket, score, class::BIGINT AS class FROM z WHERE class = 0 OR g <= 70")
 def quota_selection(s, d):
     return I.quota_selection(_scored(s, d).select("id", "bucket", "score"), s.createDataFrame(W.QUOTAS, "bucket string, lo int, hi int"), 70)
 
@@ -217,10 +199,10 @@ _SENT = "(SELECT doc_id, unnest(x) AS sentence, generate_subscripts(x, 1) - 1 AS
 def rule_edges_usage(s, d):
     papers = docs(s, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
     out = U.rule_edges(papers, W.aliases(s), {"use": r"(^|[^A-Za-z0-9_])(?:in|de|der)($|[^A-Za-z0-9_])"}, tuple(r for r in U.RULES if r.relation == "USES"))
-    return out.select("source", "relation", "target", "fragment")
+    return out.select("source", "relation", "target", F.col("evidence").alias("fragment"))
 
 
-@query(with_("alias", f"SELECT 'doc:' || doc_id AS source, entity AS target, rule FROM documents, alias, (VALUES ('ADDRESSES', 'concept'), ('PROPOSES', 'method')) AS r(rule, t) WHERE type = t AND {_MATCH.format(t='text')} GROUP BY ALL").replace("rule FROM", "rule AS relation FROM"))
+@query(with_("alias", f"SELECT 'doc:' || doc_id AS source, entity AS target, rule FROM documents, alias, (VALUES ('ADDRESSES', 'concept'), ('PROPOSES', 'method')) AS r(rule, t) WHERE type = t AND {_MATCH.format(t='text')} AND (rule <> 'ADDRESSES' OR entity NOT IN (SELECT a.entity FROM alias a JOIN (SELECT lower(alias) AS l FROM alias GROUP BY 1 HAVING count(DISTINCT entity) > 1) o ON lower(a.alias) = l WHERE a.alias_ord = 1)) GROUP BY ALL").replace("rule FROM", "rule AS relation FROM"))
 def rule_edges_title(s, d):
     papers = docs(s, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("title"), F.lit("").alias("abstract"))
     out = U.rule_edges(papers, W.aliases(s), CUES, tuple(r for r in U.RULES if r.relation in ("ADDRESSES", "PROPOSES")))
@@ -236,7 +218,7 @@ def cooccurrence_edges(s, d):
 @query(with_("lp", "SELECT source, 'PROPOSES' AS relation, 'method:' || noun AS target, min(l_linenumber)::BIGINT AS ord, count(*) - 1 AS corroborating FROM lp GROUP BY 1, 2, 3"))
 def edge_dedup_corroboration(s, d):
     rows = W.line_parts(s, d).select(W.paper_id("l_orderkey").alias("source"), F.lit("PROPOSES").alias("relation"), F.concat(F.lit("method:"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("target"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("provenance"))
-    return U.accumulate(rows).select("source", "relation", "target", "ord", F.size("corroborating").alias("corroborating"))
+    return U.accumulate(rows).select("source", "relation", "target", "ord", "corroborating")
 
 
 @query(with_("lp edge", "SELECT printf('edge_%04d', row_number() OVER (ORDER BY source, relation, target)) AS edge_id, source, relation, target FROM edge"))
@@ -269,9 +251,11 @@ def validate_unknown_endpoint(s, d):
 _SPEC = [("PROPOSES", ["paper"], ["method"], "ACTIVE"), ("USES", ["paper", "method"], ["method", "technique"], "ACTIVE"), ("ADDRESSES", ["paper"], ["concept", "problem"], "ACTIVE"), ("COMPARES_WITH", ["method"], ["method"], "ACTIVE"), ("CITED_BY", ["paper"], ["paper"], "DERIVED_INVERSE")]
 
 
-@query(with_("lp edge", f", {_BADSQL}, t AS (SELECT *, {_T} AS loc, split_part(source, ':', 1) AS st, split_part(target, ':', 1) AS tt FROM every) SELECT 'EDGE_RELATION_NOT_STORABLE' AS code, loc AS location, 'ERROR' AS severity FROM t WHERE relation IN ('CITED_BY', 'EXTENDS', 'EXTENDED_BY') UNION ALL SELECT 'EDGE_SELF_LOOP', loc, 'ERROR' FROM t WHERE relation NOT IN ('CITED_BY', 'EXTENDS', 'EXTENDED_BY') AND source = target UNION ALL SELECT 'EDGE_DOMAIN', loc, 'ERROR' FROM t WHERE (relation IN ('PROPOSES', 'ADDRESSES') AND st <> 'paper') OR (relation = 'USES' AND st NOT IN ('paper', 'method')) OR (relation = 'COMPARES_WITH' AND st <> 'method') UNION ALL SELECT 'EDGE_RANGE', loc, 'ERROR' FROM t WHERE (relation = 'PROPOSES' AND tt <> 'method') OR (relation = 'USES' AND tt NOT IN ('method', 'technique')) OR (relation = 'ADDRESSES' AND tt NOT IN ('concept', 'problem')) OR (relation = 'COMPARES_WITH' AND tt <> 'method')"))
+@query(with_("lp edge pb vocab", f", {_BADSQL}, ids AS (SELECT entity AS id, split_part(entity, ':', 1) AS type FROM vocab UNION SELECT 'paper:o_' || o_orderkey, 'paper' FROM orders UNION SELECT * FROM (VALUES ('method:a', 'method'), ('method:b', 'technique'), ('method:missing', 'method')) AS v(id, type)), t AS (SELECT e.*, {_T} AS loc, x.type AS st, y.type AS tt FROM every e LEFT JOIN ids x ON x.id = source LEFT JOIN ids y ON y.id = target) SELECT 'EDGE_RELATION_NOT_STORABLE' AS code, loc AS location, 'ERROR' AS severity FROM t WHERE relation IN ('CITED_BY', 'EXTENDS', 'EXTENDED_BY') UNION ALL SELECT 'EDGE_SELF_LOOP', loc, 'ERROR' FROM t WHERE relation NOT IN ('CITED_BY', 'EXTENDS', 'EXTENDED_BY') AND source = target UNION ALL SELECT 'EDGE_DOMAIN', loc, 'ERROR' FROM t WHERE tt IS NOT NULL AND ((relation IN ('PROPOSES', 'ADDRESSES') AND st <> 'paper') OR (relation = 'USES' AND st NOT IN ('paper', 'method')) OR (relation = 'COMPARES_WITH' AND st <> 'method')) UNION ALL SELECT 'EDGE_RANGE', loc, 'ERROR' FROM t WHERE st IS NOT NULL AND ((relation = 'PROPOSES' AND tt <> 'method') OR (relation = 'USES' AND tt NOT IN ('method', 'technique')) OR (relation = 'ADDRESSES' AND tt NOT IN ('concept', 'problem')) OR (relation = 'COMPARES_WITH' AND tt <> 'method'))").replace(") , bad", "), bad"))
 def validate_domain_range(s, d):
-    return V.domain_range(_with_bad(s, d), s.createDataFrame(_SPEC, "relation string, domain array<string>, range array<string>, status string"))
+    own = W.vocabulary(s, d).select(F.col("entity").alias("id"), "type").union(W.table(s, d, "orders").select(W.paper_id("o_orderkey"), F.lit("paper")))
+    more = s.createDataFrame([("method:a", "method"), ("method:b", "technique"), ("method:missing", "method")], "id string, type string")
+    return V.domain_range(_with_bad(s, d), s.createDataFrame(_SPEC, "relation string, domain array<string>, range array<string>, status string"), own.union(more).distinct())
 
 
 @query(with_("lp edge", f", {_BADSQL} SELECT 'EDGE_DUP_TRIPLE' AS code, {_T} AS location, 'ERROR' AS severity FROM every GROUP BY source, relation, target HAVING count(*) > 1"))
@@ -284,7 +268,7 @@ def validate_symmetric_mirror(s, d):
     return V.symmetric_mirror(_with_bad(s, d), ["COMPARES_WITH"], {"EXTENDS": "EXTENDED_BY"})
 
 
-@query(with_("lp", "SELECT DISTINCT 'EDGE_ATTRIBUTION_INCONSISTENT' AS code, 'method:' || noun || '|REPORTS_LIMITATION|limitation:l' || l_linenumber AS location, 'ERROR' AS severity, source FROM lp WHERE l_linenumber <= 2 AND l_linenumber % 2 = 0").replace(", source FROM", " FROM"))
+@query(with_("lp", "SELECT DISTINCT 'EDGE_ATTRIBUTION_INCONSISTENT' AS code, 'method:' || noun || '|REPORTS_LIMITATION|limitation:l' || l_linenumber AS location, 'ERROR' AS severity FROM lp WHERE l_linenumber % 2 = 0"))
 def validate_attribution(s, d):
     lp = W.line_parts(s, d).select(W.paper_id("l_orderkey").alias("paper"), F.concat(F.lit("method:"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("m"), "l_linenumber")
     proposes = lp.select(F.col("paper").alias("source"), F.lit("PROPOSES").alias("relation"), F.col("m").alias("target"), F.col("paper").alias("source_paper"), F.lit(None).cast("string").alias("attribution"))
@@ -297,50 +281,69 @@ def content_hash_rows(s, d):
     return docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-_Q = "paper cites lp edge pb vocab proposal grounded cand degree ranked"
-
-
-def _ground(s, d):
-    return R.ground(W.proposals(s), W.vocabulary(s, d))
+_Q = "paper cites lp edge pb vocab proposal grounded cand degree scored ranked"
 
 
-def _ranked(s, d):
-    return R.prior_work(_ground(s, d), W.edges(s, d), W.paper(s, d), W.cites(s, d), W.NOW)
+def analysis(s, d, edges=None) -> R.Analysis:
+    """One batch of proposals over the test tables."""
+    return R.Analysis(W.proposals(s), W.vocabulary(s, d), W.edges(s, d) if edges is None else edges, W.paper(s, d), W.cites(s, d), W.NOW, W.declared(s))
 
 
 @query(with_("pb vocab proposal grounded", "SELECT request_id, entity, type, alias, status FROM grounded"))
 def ground_proposals(s, d):
-    return _ground(s, d)
+    return analysis(s, d).grounded
 
 
-@query(with_("lp edge pb vocab proposal grounded cand", "SELECT request_id, count(DISTINCT paper) AS papers, count(*) AS pairs FROM cand GROUP BY 1"))
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(with_("pb vocab proposal grounded", f", piece AS (SELECT request_id, unnest(string_split(lower(v.alias), ' ')) AS w FROM (SELECT request_id, entity FROM grounded WHERE status = 'MATCHED' UNION SELECT g.request_id, o.entity FROM grounded g JOIN vocab o ON lower(o.alias) = lower(g.alias) WHERE g.status = 'AMBIGUOUS') k JOIN vocab v ON v.entity = k.entity), word AS (SELECT request_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{4,}}'))) AS w FROM proposal), kept AS (SELECT request_id, list(w ORDER BY w)[1:5] AS ws FROM word x WHERE lower(w) NOT IN ({_STOP}) AND NOT EXISTS (SELECT 1 FROM piece p WHERE p.request_id = x.request_id AND p.w = lower(x.w)) GROUP BY 1) SELECT p.request_id, array_to_string(coalesce(ws, CASE WHEN p.request_id IN (SELECT request_id FROM grounded WHERE status = 'MATCHED') THEN []::VARCHAR[] ELSE [coalesce(nullif(substr(trim(text), 1, 64), ''), 'empty_input')] END), '|') AS unknown FROM proposal p LEFT JOIN kept k ON k.request_id = p.request_id").replace(") , piece", "), piece"))
+def proposal_unknown_terms(s, d):
+    return analysis(s, d).unknown.select("request_id", F.array_join("unknown", "|").alias("unknown"))
+
+
+@query(with_("lp edge pb vocab proposal grounded cand", "SELECT request_id, count(DISTINCT paper) AS papers, count(*) AS pairs, sum(n_edges)::BIGINT AS edges FROM cand GROUP BY 1"))
 def candidate_retrieval(s, d):
-    return R.candidates(_ground(s, d), W.edges(s, d)).groupBy("request_id").agg(F.count_distinct("paper").alias("papers"), F.count("*").alias("pairs"))
+    a = analysis(s, d)
+    return R.candidates(a.grounded, a.edges).groupBy("request_id").agg(F.count_distinct("paper").alias("papers"), F.count("*").alias("pairs"), F.sum("n_edges").alias("edges"))
 
 
-@query(with_(_Q, "SELECT request_id, rank, paper, score, n_matched, CASE WHEN score >= CAST(0.65 AS DOUBLE) AND n_matched >= 2 THEN 'HIGH' WHEN score >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ranked"))
+@query(with_(_Q, "SELECT request_id, rank, paper, score, n_matched, n_evidence, CASE WHEN score >= CAST(0.65 AS DOUBLE) AND n_evidence >= 2 THEN 'HIGH' WHEN score >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ranked"))
 def prior_work_top10(s, d):
-    return _ranked(s, d)
+    a = analysis(s, d)
+    return R.ranked(R.scored(a.grounded, a.candidates, a.papers, a.cites, a.now))
 
 
-@query(with_(_Q, "SELECT request_id, rank, paper, 'matches ' || n_matched || ' concepts of the proposal' AS reason FROM ranked WHERE rank <= 7"))
+@query(with_(_Q, ", all_ AS (SELECT request_id, paper, count(*) AS n, string_agg(entity, ', ' ORDER BY entity) AS names FROM cand GROUP BY 1, 2) SELECT k.request_id, rank, k.paper, 'shares ' || n || ' grounded vocabulary entries with proposal' AS reason, names AS concepts_learned, 'Useful because it has typed edges to ' || names AS relationship_to_proposal FROM ranked k JOIN all_ a ON a.request_id = k.request_id AND a.paper = k.paper WHERE rank <= 7").replace(") , all_", "), all_"))
 def reading_path_top7(s, d):
-    return R.reading_path(_ranked(s, d))
+    return analysis(s, d).reading_path
 
 
 @query(with_(_Q, "SELECT request_id, n, paper, entity, relation FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, r) AS n FROM (SELECT k.request_id, k.rank, k.paper, e.entity, e.relation, row_number() OVER (PARTITION BY k.request_id, k.paper ORDER BY e.entity, e.relation) AS r FROM ranked k JOIN (SELECT source AS paper, target AS entity, relation FROM edge UNION ALL SELECT target, source, relation FROM edge) e ON e.paper = k.paper JOIN grounded g ON g.request_id = k.request_id AND g.entity = e.entity AND g.status = 'MATCHED' WHERE k.rank <= 5) WHERE r <= 3) WHERE n <= 10"))
 def evidence_capped(s, d):
-    return R.evidence(_ranked(s, d), _ground(s, d), W.edges(s, d))
+    return analysis(s, d).evidence
+
 
+_POS = "SELECT p.request_id, CASE WHEN coalesce(n_match, 0) = 0 OR coalesce(n_cand, 0) = 0 THEN 'UNKNOWN' WHEN top >= CAST(0.65 AS DOUBLE) AND cov >= CAST(0.6 AS DOUBLE) THEN 'WELL_EXPLORED' WHEN cov < 1 AND n_cand <= 2 THEN 'UNDERREPRESENTED' WHEN top >= CAST(0.4 AS DOUBLE) THEN 'PARTIALLY_EXPLORED' ELSE 'UNKNOWN' END AS label, CASE WHEN coalesce(n_match, 0) = 0 OR coalesce(n_cand, 0) = 0 THEN 'INSUFFICIENT' WHEN top >= CAST(0.65 AS DOUBLE) AND cov >= CAST(0.6 AS DOUBLE) THEN (CASE WHEN n_cand >= 2 THEN 'HIGH' ELSE 'MEDIUM' END) WHEN cov < 1 AND n_cand <= 2 THEN (CASE WHEN n_cand = 1 THEN 'LOW' ELSE 'MEDIUM' END) WHEN top >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS sufficiency, coalesce(n_match, 0) = 0 OR coalesce(n_cand, 0) = 0 AS abstain, coalesce(n_cand, 0) AS n_candidates, coalesce(top, 0) AS confidence_score FROM proposal p LEFT JOIN (SELECT request_id, count(*) AS n_match FROM grounded WHERE status = 'MATCHED' GROUP BY 1) m ON m.request_id = p.request_id LEFT JOIN (SELECT c.request_id, count(*) AS n_cand, max(n / CAST(u AS DOUBLE)) AS cov FROM (SELECT request_id, paper, count(*) AS n FROM cand GROUP BY 1, 2) c JOIN (SELECT request_id, count(*) AS u FROM grounded WHERE status = 'MATCHED' GROUP BY 1) u ON u.request_id = c.request_id GROUP BY 1) c ON c.request_id = p.request_id LEFT JOIN (SELECT request_id, score AS top FROM ranked WHERE rank = 1) t ON t.request_id = p.request_id"
 
-@query(with_(_Q, "SELECT p.request_id, CASE WHEN coalesce(n_match, 0) = 0 OR coalesce(n_cand, 0) = 0 THEN 'UNKNOWN' WHEN top >= CAST(0.65 AS DOUBLE) AND cov >= CAST(0.6 AS DOUBLE) THEN 'WELL_EXPLORED' WHEN cov < 1 AND n_cand <= 2 THEN 'UNDERREPRESENTED' WHEN top >= CAST(0.4 AS DOUBLE) THEN 'PARTIALLY_EXPLORED' ELSE 'UNKNOWN' END AS label, CASE WHEN coalesce(n_match, 0) = 0 OR coalesce(n_cand, 0) = 0 THEN 'INSUFFICIENT' WHEN top >= CAST(0.65 AS DOUBLE) AND cov >= CAST(0.6 AS DOUBLE) THEN (CASE WHEN n_cand >= 2 THEN 'HIGH' ELSE 'MEDIUM' END) WHEN cov < 1 AND n_cand <= 2 THEN (CASE WHEN n_cand = 1 THEN 'LOW' ELSE 'MEDIUM' END) WHEN top >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END AS sufficiency, coalesce(n_match, 0) = 0 OR coalesce(n_cand, 0) = 0 AS abstain, coalesce(n_cand, 0) AS n_candidates FROM proposal p LEFT JOIN (SELECT request_id, count(*) AS n_match FROM grounded WHERE status = 'MATCHED' GROUP BY 1) m ON m.request_id = p.request_id LEFT JOIN (SELECT c.request_id, count(*) AS n_cand, max(n / CAST(u AS DOUBLE)) AS cov FROM (SELECT request_id, paper, count(*) AS n FROM cand GROUP BY 1, 2) c JOIN (SELECT request_id, count(*) AS u FROM grounded WHERE status = 'MATCHED' GROUP BY 1) u ON u.request_id = c.request_id GROUP BY 1) c ON c.request_id = p.request_id LEFT JOIN (SELECT request_id, score AS top FROM ranked WHERE rank = 1) t ON t.request_id = p.request_id"))
+
+@query(with_(_Q, _POS))
 def facet_positioning(s, d):
-    return R.positioning(W.proposals(s), _ground(s, d), W.edges(s, d), _ranked(s, d))
+    return analysis(s, d).positions
 
 
-@query(with_(_Q, "SELECT p.request_id, array_to_string(list_filter([CASE WHEN n_all IS NULL THEN 'no known term' END, CASE WHEN n_amb > 0 THEN 'ambiguous term' END, CASE WHEN k.request_id IS NULL THEN 'insufficient evidence' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM proposal p LEFT JOIN (SELECT request_id, count(*) AS n_all, count(*) FILTER (WHERE status = 'AMBIGUOUS') AS n_amb FROM grounded GROUP BY 1) g ON g.request_id = p.request_id LEFT JOIN (SELECT DISTINCT request_id FROM cand) k ON k.request_id = p.request_id"))
+@query(with_(_Q, f", pos AS ({_POS}) SELECT p.request_id, array_to_string(list_filter([CASE WHEN abstain THEN '{R.INSUFFICIENT}' END, CASE WHEN coalesce(n_match, 0) = 0 THEN '{R.NOTHING_KNOWN}' END, '{R.AMBIGUOUS_TERMS}' || doubt], lambda x: x IS NOT NULL), ' | ') AS warnings FROM pos p LEFT JOIN (SELECT request_id, count(*) FILTER (WHERE status = 'MATCHED') AS n_match, string_agg(DISTINCT CASE WHEN status = 'AMBIGUOUS' THEN lower(alias) END, ', ' ORDER BY CASE WHEN status = 'AMBIGUOUS' THEN lower(alias) END) AS doubt FROM grounded GROUP BY 1) g ON g.request_id = p.request_id").replace(") , pos", "), pos"))
 def request_warnings(s, d):
-    return R.warnings(R.positioning(W.proposals(s), _ground(s, d), W.edges(s, d), _ranked(s, d)), _ground(s, d))
+    return analysis(s, d).warnings
+
+
+_RUNGS = {"L0": ("citation",), "L1": ("proximity", "citation"), "L2": tuple(R.WEIGHTS)}
+
+
+@query(with_(_Q, ", rung AS (SELECT request_id, paper, unnest(['L0', 'L1', 'L2']) AS rung, unnest([CAST(0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * f_citation, CAST(0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(1 AS DOUBLE) + CAST(0.1 AS DOUBLE) * f_citation, CAST(0 AS DOUBLE) + CAST(0.3 AS DOUBLE) * f_concept + CAST(0.2 AS DOUBLE) * f_method + CAST(0.15 AS DOUBLE) * f_problem + CAST(0.1 AS DOUBLE) * CAST(0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(1 AS DOUBLE) + CAST(0.1 AS DOUBLE) * f_citation + CAST(0.05 AS DOUBLE) * f_temporal]) AS score FROM scored) SELECT rung, request_id, arg_min(paper, (-score, paper)) AS paper, max(score) AS score, CASE WHEN max(score) >= CAST(0.65 AS DOUBLE) THEN 'WELL_EXPLORED' WHEN max(score) >= CAST(0.4 AS DOUBLE) THEN 'PARTIALLY_EXPLORED' WHEN max(score) > 0 THEN 'UNDERREPRESENTED' ELSE 'UNKNOWN' END AS label FROM rung GROUP BY 1, 2").replace(") , rung", "), rung"))
+def ablation_ladder(s, d):
+    a = analysis(s, d)
+    return E.ablation(a.grounded, a.candidates, a.papers, a.cites, a.now, _RUNGS)
 
 
 @query("WITH RECURSIVE " + W.CTE["cites"] + ", both_ AS (SELECT a, b FROM cites UNION SELECT b, a FROM cites), w(seed, id, distance) AS (SELECT s, s, 0 FROM (VALUES ('paper:o_1'), ('paper:o_7'), ('paper:o_100')) AS v(s) UNION SELECT w.seed, e.b, w.distance + 1 FROM w JOIN both_ e ON w.id = e.a WHERE w.distance < 3) SELECT seed, id, min(distance)::BIGINT AS distance FROM w GROUP BY 1, 2")
@@ -348,6 +351,31 @@ def bounded_distance(s, d):
     return G.bounded_distance(W.cites(s, d), s.createDataFrame([("paper:o_1",), ("paper:o_7",), ("paper:o_100",)], "seed string"))
 
 
+@query("WITH RECURSIVE " + W.CTE["cites"] + ", both_ AS (SELECT a, b FROM cites UNION SELECT b, a FROM cites), w(seed, id, distance) AS (SELECT s, s, 0 FROM (VALUES ('paper:o_1'), ('paper:o_7'), ('paper:o_100')) AS v(s) UNION SELECT w.seed, e.b, w.distance + 1 FROM w JOIN both_ e ON w.id = e.a WHERE w.distance < 3) SELECT seed, id, distance FROM (SELECT seed, id, min(distance)::BIGINT AS distance FROM w GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY distance, id) <= 3")
+def bounded_distance_capped(s, d):
+    return G.bounded_distance(W.cites(s, d), s.createDataFrame([("paper:o_1",), ("paper:o_7",), ("paper:o_100",)], "seed string"), most=3)
+
+
+_STEPS = [("concept:a", "concept:b"), ("concept:b", "concept:c"), ("concept:a", "concept:c"), ("concept:c", "method:d"), ("technique:x", "technique:y"), ("technique:y", "technique:x"), ("technique:y", "technique:z")]
+_PRE = "pre AS (SELECT DISTINCT 'method:' || noun AS source, 'technique:' || adj AS target FROM lp UNION SELECT * FROM (VALUES " + W._values(_STEPS[:4]) + ") AS v(source, target))"
+
+
+def _prerequisites(s, d):
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    own = W.line_parts(s, d).select(F.concat(F.lit("method:"), word(2)).alias("source"), F.concat(F.lit("technique:"), word(1)).alias("target")).distinct()
+    return own.union(s.createDataFrame(_STEPS[:4], "source string, target string"))
+
+
+@query("WITH RECURSIVE " + W.CTE["lp"] + ", " + _PRE + ", c(before, after, depth) AS (SELECT source, target, 1 FROM pre UNION SELECT c.before, p.target, c.depth + 1 FROM c JOIN pre p ON p.source = c.after WHERE c.depth < 8) SELECT before, after, max(depth)::BIGINT AS depth FROM c GROUP BY 1, 2")
+def prerequisite_chains(s, d):
+    return G.prerequisite_chains(_prerequisites(s, d))
+
+
+@query("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + W._values(_STEPS) + ") AS v(source, target)), c(before, after) AS (SELECT source, target FROM e UNION SELECT c.before, e.target FROM c JOIN e ON e.source = c.after) SELECT DISTINCT before AS entry FROM c WHERE before = after")
+def prerequisite_cycles(s, d):
+    return G.prerequisite_cycles(s.createDataFrame(_STEPS, "source string, target string"))
+
+
 @query(with_("lp edge", "SELECT target AS neighbour, relation, 'out' AS direction FROM edge WHERE source = 'paper:o_7' UNION ALL SELECT source, relation, 'in' FROM edge WHERE target = 'paper:o_7'"))
 def neighbors(s, d):
     return G.neighbours(W.edges(s, d), F.lit("paper:o_7"))
@@ -376,12 +404,12 @@ def _claims(s, d):
     return docs(s, d).select("doc_id", "source").join(W.table(s, d, "labels"), "doc_id").select(F.col("source").alias("claim"), F.col("doc_id").alias("paper"), side.alias("side"))
 
 
-@query(f"SELECT claim, count(*) FILTER (WHERE side = 'SUPPORTS') AS n_support, count(*) FILTER (WHERE side = 'CHALLENGES') AS n_challenge, count(DISTINCT paper) AS n_papers, CASE WHEN count(*) FILTER (WHERE side = 'SUPPORTS') > 0 AND count(*) FILTER (WHERE side = 'CHALLENGES') > 0 AND count(DISTINCT paper) >= 2 THEN 'CONFLICTING' ELSE 'INSUFFICIENT' END AS status FROM {_CLAIMS} GROUP BY 1")
+@query(f"SELECT claim, count(*) FILTER (WHERE side = 'SUPPORTS') AS n_support, count(*) FILTER (WHERE side = 'CHALLENGES') AS n_challenge, count(DISTINCT paper) AS n_papers, CASE WHEN count(*) FILTER (WHERE side = 'SUPPORTS') > 0 AND count(*) FILTER (WHERE side = 'CHALLENGES') > 0 AND count(DISTINCT paper) >= 2 THEN 'CONFLICTING' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM {_CLAIMS} WHERE side IS NOT NULL GROUP BY 1")
 def tensions(s, d):
     return R.tensions(_claims(s, d))
 
 
-@query(with_("lp", "SELECT DISTINCT source AS paper, 'method:' || noun AS method, 'limitation:l' || l_linenumber AS limitation FROM lp WHERE l_linenumber <= 2"))
+@query(with_("lp", "SELECT DISTINCT source AS paper, 'method:' || noun AS method, 'limitation:l' || l_linenumber AS limitation FROM lp"))
 def limitations_report(s, d):
     return W.line_parts(s, d).select(W.paper_id("l_orderkey").alias("paper"), F.concat(F.lit("method:"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("method"), F.concat(F.lit("limitation:l"), F.col("l_linenumber").cast("string")).alias("limitation")).distinct()
 
@@ -430,16 +458,13 @@ def tension_prf(s, d):
     return E.tension_prf(of(F.col("toxic") == 1), of(F.col("quality") == 0))
 
 
-_BQ = [(1, "the and of"), (2, "pour les"), (3, "thing ver"), (4, "")]
-
-
-@query("WITH q AS (SELECT request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM (VALUES " + W._values(_BQ) + ") AS v(request_id, text)), t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), st AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_words FROM t), p AS (SELECT id, len, w, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS w FROM t) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2, 3), df AS (SELECT w, count(*) AS df FROM p GROUP BY 1), x AS (SELECT q.request_id, p.id, sum(ln(1 + (n_docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len * n_docs / n_words))) AS score FROM p JOIN df USING (w) JOIN q USING (w), st GROUP BY 1, 2) SELECT request_id, rank, id FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank, id FROM x) WHERE rank <= 10")
+@query("WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), q AS (SELECT id AS request_id, unnest(list_distinct(ws)) AS w FROM t WHERE id % 20 = 0), st AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_words FROM t), p AS (SELECT id, len, w, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS w FROM t) GROUP BY 1, 2, 3), df AS (SELECT w, count(*) AS df FROM p GROUP BY 1), x AS (SELECT q.request_id, p.id, round(sum(ln(1 + (n_docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len * n_docs / n_words))), 9) AS score FROM p JOIN df USING (w) JOIN q USING (w), st GROUP BY 1, 2) SELECT request_id, rank, id FROM (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank, id FROM x) WHERE rank <= 10")
 def bm25_top10(s, d):
     rows = docs(s, d).select(F.col("doc_id").alias("id"), "text")
     return E.bm25(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "request_id"))
 
 
-@query("WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT query_id, rank, id FROM (SELECT q.id AS query_id, x.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(x.v, q.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(q.v, q.v)) DESC, x.id) AS rank FROM x, x q WHERE q.id < 5 AND q.id <> x.id) WHERE rank <= 10")
+@query("WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT query_id, rank, id FROM (SELECT q.id AS query_id, x.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(x.v, q.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(q.v, q.v)) DESC, x.id) AS rank FROM x, x q WHERE q.id % 20 = 0 AND q.id <> x.id) WHERE rank <= 10")
 def cosine_top10(s, d):
     v = W.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return E.cosine_top(v, v.where("id % 20 = 0"))
@@ -469,8 +494,11 @@ def paired_bootstrap(s, d):
     return E.paired_bootstrap(diff, 2000)
 
 
-@query()
+@query(with_("lp edge", ", h AS (SELECT sha256('{\"relation\":\"' || relation || '\",\"source\":\"' || source || '\",\"target\":\"' || target || '\"}') AS h FROM edge), z AS (SELECT CASE WHEN count(*) <= 4096 THEN 0 WHEN count(*) <= 65536 THEN 1 WHEN count(*) <= 1048576 THEN 2 END AS z FROM h), g AS (SELECT substr(h, 1, z) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, z GROUP BY 1), r AS (SELECT sha256(string_agg(p || ':' || h, '' ORDER BY p || ':' || h)) AS r, min(h) AS leaf FROM g) SELECT CASE WHEN z = 0 THEN leaf ELSE r END AS state_sha256 FROM r, z").replace(") , h AS", "), h AS"))
 def knowledge_state_hash(s, d):
-    """SHA-256 of the canonical edge rows, combined by an order-free digest of the sorted partition digests: one row."""
-    row = F.struct("relation", "source", "target")
-    return W.edges(s, d).select(F.sha2(T.canonical_json(row), 256).alias("h")).groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("state_sha256"))
+    from ..sinks.state import canonical, content_digest
+
+    return content_digest(canonical(W.edges(s, d).select("relation", "source", "target"))).select(F.col("sha256").alias("state_sha256"))
+
+
+from . import checks, knowledge  # noqa: E402, F401  their queries register themselves
