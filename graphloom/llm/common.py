@@ -1,65 +1,18 @@
-"""Helpers shared by the training-data operators: shared storage, components, label samples."""
+"""Helpers shared by the training-data operators; storage and components are those of the library."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..session import drop_path, dropped, fresh_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is ever read from a path of another run."""
-    return f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
-
-
-#: Removes a query's shuffle files when it ends; a write's own plan is never run again, so nothing can miss them.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
-
-    The shuffle files of the write are removed at its end; without that, they stay until the driver collects garbage.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` gave, once all that was made from it is written itself."""
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        drop_path(df.sparkSession, folder)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path that fresh_path gave and that no reader needs any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["among", "components", "docs_of", "drop_path", "dropped", "fresh_path", "held_out", "keyed", "lowest", "shared_dir", "tidy", "written"]
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -82,6 +35,34 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+#: Bits of a filter at most (8 MB), and bits for each key below that.
+MOST_BITS, BITS = 1 << 26, 16
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame, flag: str | None = None) -> DataFrame:
+    """The rows whose ``column`` may be one of the values of ``keys`` (one column of the same type): all that are, and a few that are not.
+
+    With ``flag`` all rows come back, and that column tells which these are.
+
+    Ahead of an exact join, so that only these rows are shuffled. The keys' hashes are bits of maps of 4 kB each, which are broadcast: at most
+    MOST_BITS. Of many more keys than that the filter lets most rows pass, and the join behind it gives the same rows.
+    """
+    bits = 1 << 15
+    wanted = BITS * keys.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    own = keys.select(bit(keys.columns[0]).alias("h")).select((F.col("h") / 32768).cast("int").alias("_map"), (F.col("h") % 32768).alias("p"))
+    maps = own.groupBy("_map").agg(F.bitmap_construct_agg("p").alias("_bits"))
+    at = F.col("_bit") % 32768
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("_bit", bit(column)).withColumn("_map", (F.col("_bit") / 32768).cast("int"))
+    found = placed.join(F.broadcast(maps), "_map", "left")
+    hit = F.coalesce((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return found.where(hit).select(*columns) if flag is None else found.select(*columns, hit.alias(flag))
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -91,24 +72,15 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest id reachable from every id that occurs in ``edges`` (a, b long): columns id, component_id.
+def keyed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, rep, m, key of each distinct value of ``by``: its smallest id, its rows, and its key: that id, or a number of its own where several values have the same smallest id."""
+    some = rows.groupBy(*by).agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    shared = some.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep", F.lit(True).alias("odd"))
+    own = -(F.shiftrightunsigned(F.xxhash64(*by), 1)) - 1
+    return some.join(shared, "rep", "left").select(*by, "rep", "m", F.when(F.col("odd"), own).otherwise(F.col("rep")).alias("key"))
 
-    Minimum labels spread to neighbours and then jump to the label of their label, so that a path of n
-    links takes about log n rounds. Each round is written to the shared folder. Every join is on keys that
-    hold at most a vertex's links; labels of one large component are read through a join that AQE may split.
-    Null ends are ignored; no edges give no rows.
-    """
-    spark = edges.sparkSession
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("m"))
-        hop = label.join(near, "id", "left").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = hop.select(F.col("id").alias("l"), F.col("l").alias("j"))
-        new = written(hop.join(jump, "l", "left").select("id", "old", F.least("l", "j").alias("l")), "labels")
-        label = new.select("id", "l")
-        if new.where("old <> l").isEmpty():
-            return label.select("id", F.col("l").alias("component_id"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+def lowest(placed: DataFrame) -> DataFrame:
+    """placed (key, rep, root and others) with the smallest rep of each root in its place; that is the root but where some key is a number of its own."""
+    own = placed.groupBy("root").agg(F.min("rep").alias("low"), F.bool_or(F.col("key") != F.col("rep")).alias("odd")).where("odd").select("root", "low")
+    return placed.join(own, "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")

@@ -1,14 +1,17 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set holds the hashes of its distinct word shingles; its sketch holds the k smallest. Documents of equal
-sets are one class with the smallest id as its representative. The number of values that the sketches of two similar sets share is hypergeometric, so it has a floor that it
+sets are one class, which has one key. The number of values that the sketches of two similar sets share is hypergeometric, so it has a floor that it
 misses with a chance below 1e-8 (``floors``; none where the sets fit into their sketches). Of a sketch only the rarest values
 beyond that floor go into inverted lists: boilerplate that fills less of a document never brings it into a list. Lists link
 members to one leader, components form, and only members of different components are compared further, in blocks. Pairs pass an
 estimate on the union's sketch, then the exact similarity of the full sets decides.
 
+Sketches and texts are only shuffled where a pair or a block asks for them: a bounded filter of the asked keys stands ahead of each such join.
+
 Defined cases: null texts and texts without words have an empty set and link with nothing; texts with fewer words than a
-shingle are one shingle as a whole; repeated ids stand for one document each time; an empty table gives no rows; other
+shingle are one shingle as a whole; rows that repeat an id are one document, which links with all that any of its texts links with;
+rows without an id have no component and are not kept, and link with nothing; equal similarity needs no tie-break, as all pairs at the bound link; an empty table gives no rows; other
 columns are never read.
 """
 
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, written
+from .common import among, components, dropped, keyed, lowest, tidy, written
 
 K = 128
 #: Members of a list that are compared with each other at once; longer lists are dealt out as pairs of blocks.
@@ -90,18 +93,21 @@ def sketches(docs: DataFrame, words: int, k: int, percent: int, id_col: str, tex
                 names=["id", "n", "t", "fp", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, t long, fp binary, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(run), "id long, n long, t long, fp binary, sketch array<long>")
+
 
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, fp, s): the whole set and its digest, of rows (id, text)."""
 
-def full_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sets = [shingle_hashes(t, words).astype(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], names=["id", "s"])
+                sets = [shingle_hashes(t, words) for t in part.column(1).to_pylist()]
+                flat = pa.array(np.concatenate([np.empty(0, np.int64), *(s.astype(np.int64) for s in sets)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), flat)], names=["id", "fp", "s"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, s array<long>")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, fp binary, s array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, whole: np.ndarray, floor: np.ndarray, percent: int) -> np.ndarray:
@@ -133,9 +139,15 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both[:, 1:] == both[:, :-1], both[:, 1:], top).min(axis=1, initial=top)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches let them be similar."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("t").alias(f"t_{c}"), F.col("sketch").alias(f"s_{c}"))
+    pairs = written(pairs, "asked")
+    some = written(among(reps.select("key", "n", "t", "sketch"), "key", _ends(pairs)), "sketched")
+    side = lambda c: some.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("t").alias(f"t_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,45 +158,68 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "s_a", "s_b", F.greatest("n_a", "n_b"), F.greatest("t_a", "t_b")).mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    own = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(ids, F.col(id_col) == F.col("i"), "left_semi").dropDuplicates([id_col])
-    sets = written(full_sets(own, words, id_col, text_col), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    good = written(sized.select("a", "b", "s_a", "s_b", F.greatest("n_a", "n_b"), F.greatest("t_a", "t_b")).mapInArrow(tidy(run), "a long, b long"), "pairs")
+    dropped(some)
+    dropped(pairs)
+    return good
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a written table) whose full sets have 100 * intersection >= percent * union; docs: id, text."""
+    asked = _ends(pairs)
+    named = written(among(reps.select("key", "rep", "fp"), "key", asked).join(asked, "key", "left_semi"), "named")
+    ids = named.select("rep").distinct()
+    own = among(docs, "id", ids).join(ids, F.col("id") == F.col("rep"), "left_semi")
+    # Of an id with several texts only the row with the class's own set counts; equal rows count once.
+    sets = full_sets(own, words).join(named.select(F.col("rep").alias("id"), "fp", "key"), ["id", "fp"]).dropDuplicates(["key"])
+    sets = written(sets.select("key", "s"), "sets")
+    joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     common = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("c"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
     links = written(common.where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b"), "links")
-    dropped(sets)
+    for table in (sets, named, pairs):
+        dropped(table)
     return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, star_rounds: int = 2) -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable by links), kept (is its component's smallest)."""
-    whole = written(sketches(docs, words, k, percent, id_col, text_col), "sketches")
+    """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (is its component's smallest)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    whole = written(sketches(docs, words, k, percent, "id", "text"), "sketches")
     sk = written(whole.select("id", "n", "fp"), "digests")
-    classes = written(sk.where("n > 0").groupBy("n", "fp").agg(F.min("id").alias("rep")), "classes")
-    reps = written(whole.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "t", "sketch"), "reps")
-    dropped(whole)  # of other documents than representatives only the digest is needed from here on
-    values = reps.select("id", F.explode("sketch").alias("v"))
+    classes = written(keyed(sk.where("n > 0 AND id IS NOT NULL"), ["n", "fp"]), "classes")
+    # A row whose set and id are its own alone stands for its class as it is; of the others one row is taken for each class.
+    twice = classes.where("m > 1 OR key <> rep").select("n", "fp")
+    copied = sk.join(twice, ["n", "fp"], "left_semi").select("id").union(sk.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    copied = written(copied.where("id IS NOT NULL").distinct(), "copied")
+    flagged = among(whole, "id", copied, "maybe").where("n > 0 AND id IS NOT NULL")
+    alone, maybe = flagged.where("NOT maybe"), flagged.where("maybe")
+    chosen = maybe.join(classes.select("n", "fp", "rep", "key"), ["n", "fp"]).dropDuplicates(["n", "fp"])
+    columns = ("key", "rep", "fp", "n", "t", "sketch")
+    reps = written(alone.select(F.col("id").alias("key"), F.col("id").alias("rep"), "fp", "n", "t", "sketch").unionByName(chosen.select(*columns)), "reps")
+    for table in (whole, copied):  # of other rows only the digest is needed from here on
+        dropped(table)
+    values = reps.select(F.col("key").alias("id"), F.explode("sketch").alias("v"))
     shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     by_rarity = Window.partitionBy("id").orderBy("df", "v")
     ranked = values.join(shared, "v").select("id", "v", F.row_number().over(by_rarity).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m"))
-    lists = written(ranked.join(reps.select("id", "t"), "id").where("m >= t AND r <= m - t + 1").select("v", "id", (F.col("m") - F.col("t")).alias("spare")), "lists")
+    lists = written(ranked.join(reps.select(F.col("key").alias("id"), "t"), "id").where("m >= t AND r <= m - t + 1").select("v", "id", (F.col("m") - F.col("t")).alias("spare")), "lists")
     dropped(shared)
-    edges, comp = None, None
+    # Rows of one id are one document, whatever their texts.
+    members = sk.join(classes.select("n", "fp", "key"), ["n", "fp"]).select("id", "key")
+    several = members.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("id", "a")
+    edges = written(members.join(several, "id").where("key <> a").select("a", F.col("key").alias("b")).distinct(), "links")
+    comp = None
     for turn in range(star_rounds):
         mine = lists.withColumn("c", F.col("id")) if comp is None else lists.join(comp, "id", "left").select("v", "id", "spare", F.coalesce("component_id", "id").alias("c"))
         # A list's leader is first the member that shares most values with others, later one by hash; members of other components are paired with it.
         order = [F.xxhash64("id", F.lit(turn))] if turn else [-F.col("spare")]
         lead = mine.groupBy("v").agg(F.min(F.struct(*order, "id", "c")).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
         stars = mine.join(lead, "v").where("c <> ca").groupBy(F.col("id").alias("b"), "a").agg(F.lit(1)).select("a", "b")
-        good = _verified(_estimated(stars, reps, k, percent), docs, words, percent, id_col, text_col)
-        edges = good if edges is None else written(edges.unionByName(good), "links")
-        comp = components(edges)
+        good = _verified(_estimated(stars, reps, k, percent), docs, reps, words, percent)
+        more = written(edges.unionByName(good), "links")
+        for table in (edges, good):
+            dropped(table)
+        edges, comp = more, components(more)
     # What is left: members of one list in different components, compared in pairs of blocks; small lists together in bins.
     mine = lists.join(comp, "id", "left").select("v", "id", F.coalesce("component_id", "id").alias("c"))
     mixed = written(mine.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v", "size"), "mixed")
@@ -192,8 +227,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     part = mine.join(mixed, "v").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("x", (F.xxhash64("id") % F.col("blocks") + F.col("blocks")).cast("int") % F.col("blocks"))
     part = part.withColumn("v", F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("v"), F.lit(bins))).otherwise(F.col("v")))
     dealt = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "id", "c").distinct()
+    dealt = written(dealt, "dealt")
     keys = part.groupBy("id").agg(F.sort_array(F.collect_set("v")).alias("keys"))  # a sketch's values at most
-    dealt = dealt.join(reps, "id").join(keys, "id")
+    some = written(among(reps.select(F.col("key").alias("id"), "n", "t", "sketch"), "id", dealt.select("id").distinct()).join(keys, "id"), "sketched")
+    dealt = dealt.join(some, "id")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("id").reset_index(drop=True)
@@ -229,10 +266,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         a, b = ids[i[good]], ids[j[good]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
 
-    rest = dealt.groupBy("v", "p", "q").applyInPandas(compare, "a long, b long")
-    last = _verified(rest, docs, words, percent, id_col, text_col)
-    comp = components(written(edges.unionByName(last), "links"))
-    rep_of = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n", "fp", F.coalesce("component_id", "rep").alias("root"))
+    rest = written(dealt.groupBy("v", "p", "q").applyInPandas(compare, "a long, b long"), "pairs")
+    dropped(some)
+    last = _verified(rest, docs, reps, words, percent)
+    comp = components(edges.unionByName(last))
+    placed = classes.join(comp, F.col("key") == F.col("id"), "left").select("n", "fp", "rep", "key", F.coalesce("component_id", "key").alias("root"))
+    rep_of = lowest(placed).select("n", "fp", "root")
     joined = sk.select("id", F.col("n").alias("n_shingles"), "n", "fp").join(rep_of, ["n", "fp"], "left")
-    out = joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = joined.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
