@@ -4,9 +4,10 @@ Found values: e-mail addresses, quoted secrets behind a naming word, dates, IPv4
 numbers (13 to 19 digits, blanks or hyphens between), telephone numbers, and IBANs. A value that its format
 validates keeps it:
 
-* dates (year-month-day, or day and month before the year, 1800 to 2199): the day number is permuted within the 146097 days of 400 years;
+* dates (year-month-day, or day and month before the year, 1800 to 2199): permuted among the dates of these 400 years whose month and day are written with as many digits;
 * IPv4 addresses, each part at most 255: permuted within 32 bits;
-* card numbers with a right Luhn digit: all other digits are permuted and the Luhn digit is set; other long numbers: all digits;
+* card numbers with a right Luhn digit: all other digits are permuted and the Luhn digit is set; other long numbers: likewise, with a last digit that is
+  wrong again, so that no number becomes a card's;
 * telephone numbers: all digits behind a leading country code, the punctuation stays;
 * IBANs: the digits behind the check digits are permuted and the check digits are set anew;
 * e-mail addresses and secrets: a keyed digest of the lower-cased value, of the secret's length, as their alphabet has no fixed size.
@@ -14,8 +15,9 @@ validates keeps it:
 A permutation is a bijection under one key, so equal values stay linked across documents and different ones stay apart
 (digests: but for collisions of 64 bits or more). Numbers that no format validates (a date such as 31.02.2020) stay.
 
-Defined cases: a null text stays null with no finds, an empty text stays empty; repeated rows get equal results; other columns
-stay; columns named as the results are replaced.
+Defined cases: a null text stays null with no finds, an empty text stays empty; repeated rows, with or without an id, get equal results; of values that
+overlap the first in the text is taken, of those that start together the first kind in the order above; other columns stay, whatever their names; columns named as
+the results are replaced; an empty table gives no rows; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -119,10 +121,16 @@ def _digits(value: Column) -> Column:
 
 def _number(key: str, value: Column) -> Column:
     def of(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
-        valid = luhn_digit(body) == F.substr(d, F.length(d), F.lit(1))
-        card = _let(permute_digits(key, "card", body), lambda p: F.concat(p, luhn_digit(p)))
-        return refill(value, F.when(valid, card).otherwise(permute_digits(key, "number", d)))
+        body, last = F.substr(d, F.lit(1), F.length(d) - 1), F.substr(d, F.length(d), F.lit(1)).cast("int")
+        off = (last - luhn_digit(body).cast("int") + 10) % 10  # 0 for a card
+        start = F.struct(permute_digits(key, "card", body).alias("p"), off.alias("off"))
+
+        def close(s: Column) -> Column:
+            # Of the nine wrong last digits one becomes another, by a shift that the new body gives.
+            turned = F.when(s["off"] == 0, 0).otherwise((s["off"] - 1 + _prf(key, "last", F.length(s["p"]), s["p"]) % 9) % 9 + 1)
+            return F.concat(s["p"], ((luhn_digit(s["p"]).cast("int") + turned) % 10).cast("int").cast("string"))
+
+        return refill(value, _let(start, close))
 
     return _let(_digits(value), of)
 
@@ -141,9 +149,30 @@ def _ip(key: str, value: Column) -> Column:
     return F.when(valid, out).otherwise(value)
 
 
+#: Dates of 400 years whose month, day or both are written with one digit: how many there are, and the sides of a square that holds them.
+SHORT_MONTH, SHORT_DAY = 9, 9
+STEPS = 6
+
+
+def _first_that(fits, start: Column, turn) -> Column:
+    """``turn`` applied to a long until the result fits: a permutation of a larger set is one of the fitting part. After STEPS turns the value itself stays."""
+
+    def again(s: Column, _: Column) -> Column:
+        new = turn(s["v"])
+        return _let(new, lambda n: F.struct(F.when(s["done"], s["v"]).otherwise(n).alias("v"), (s["done"] | fits(n)).alias("done")))
+
+    begin = F.struct(start.cast("long").alias("v"), F.lit(False).alias("done"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(STEPS)]), begin, again, lambda s: F.when(s["done"], s["v"]).otherwise(start.cast("long")))
+
+
 def _date(key: str, value: Column) -> Column:
-    """The order of the parts, their separators and their leading zeros stay (one-digit parts become as long as the new part needs)."""
+    """The order of the parts, their separators and the digits of each part stay."""
     part = F.split(value, r"[-/.]")
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def mixed(tweak: str, number: Column, n: int, m: int) -> Column:
+        """A number below n x m permuted among those."""
+        return _let(feistel(key, tweak, F.floor(number / m), number % m, F.lit(n), F.lit(m)), lambda s: s["a"] * m + s["b"])
 
     def of(p: Column) -> Column:
         year_first = F.length(p[0]) == 4
@@ -152,13 +181,25 @@ def _date(key: str, value: Column) -> Column:
         y, m, d = F.when(year_first, p[0]).otherwise(p[2]), F.when(year_first | ~month_first, p[1]).otherwise(p[0]), F.when(year_first, p[2]).when(month_first, p[1]).otherwise(p[0])
         # to_date of a wrong day is null, not an error, under try_to_timestamp.
         day = F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")))
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+        number = F.datediff(day, first)
+        year, month, dom = F.year(day) - 1800, F.month(day), F.dayofmonth(day)
+        from_parts = lambda a, b, c: F.make_date((a + 1800).cast("int"), b.cast("int"), c.cast("int"))
         # 146097 = 189 x 773, so that one Feistel of mixed radix permutes the days exactly.
-        done = feistel(key, "date", F.floor(number / 773), number % 773, F.lit(189), F.lit(773))
-        new = _let(done, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * 773 + s["b"]).cast("int")))
+        full = F.date_add(first, mixed("date", number, 189, 773).cast("int"))
+        # 400 x 12 months x 9 days = 180 x 240; 400 x 9 x 9 = 180 x 180.
+        short_day = _let(mixed("day", (year * 12 + month - 1) * SHORT_DAY + dom - 1, 180, 240), lambda v: from_parts(F.floor(v / 108), F.floor(v / 9) % 12 + 1, v % 9 + 1))
+        short = _let(mixed("both", (year * SHORT_MONTH + month - 1) * SHORT_DAY + dom - 1, 180, 180), lambda v: from_parts(F.floor(v / 81), F.floor(v / 9) % 9 + 1, v % 9 + 1))
+        # The days of nine months of 31 days, 400 x 279 = 360 x 310; turned on until there is such a day.
+        real = lambda v: F.try_to_date(F.format_string("%04d-%02d-%02d", (F.floor(v / 279) + 1800).cast("int"), (F.floor(v / 31) % 9 + 1).cast("int"), (v % 31 + 1).cast("int")), "yyyy-MM-dd")
+        walked = _first_that(lambda v: real(v).isNotNull(), year * 279 + (month - 1) * 31 + dom - 1, lambda v: mixed("month", v, 360, 310))
+        new = F.when((F.length(m) == 2) & (F.length(d) == 2), full).when(F.length(m) == 2, short_day).when(F.length(d) == 1, short).otherwise(real(walked))
         sep1, sep2 = F.regexp_extract(value, r"^\d+([-/.])", 1), F.regexp_extract(value, r"([-/.])\d+$", 1)
-        built = _let(new, lambda t: F.when(year_first, F.concat(F.date_format(t, "yyyy"), sep1, F.date_format(t, "MM"), sep2, F.date_format(t, "dd"))).when(month_first, F.concat(F.date_format(t, "MM"), sep1, F.date_format(t, "dd"), sep2, F.date_format(t, "yyyy"))).otherwise(F.concat(F.date_format(t, "dd"), sep1, F.date_format(t, "MM"), sep2, F.date_format(t, "yyyy"))))
-        return F.when(number.between(0, ALL_DAYS - 1), built).otherwise(value)
+
+        def built(t: Column) -> Column:
+            yy, mm, dd = F.date_format(t, "yyyy"), F.lpad(F.month(t).cast("string"), F.length(m), "0"), F.lpad(F.dayofmonth(t).cast("string"), F.length(d), "0")
+            return F.when(year_first, F.concat(yy, sep1, mm, sep2, dd)).when(month_first, F.concat(mm, sep1, dd, sep2, yy)).otherwise(F.concat(dd, sep1, mm, sep2, yy))
+
+        return F.when(number.between(0, ALL_DAYS - 1), _let(new, built)).otherwise(value)
 
     return _let(part, of)
 
@@ -197,14 +238,17 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str | None = None, count_col: str = "n_pii") -> DataFrame:
     """``docs`` with pseudonyms in ``out_col`` (the text itself by default) and the number of values replaced in ``count_col``."""
     out_col = out_col or text_col
-    text = F.col(text_col)
+    taken = {c.lower() for c in docs.columns} | {out_col.lower(), count_col.lower()}
+    found_, new_, out_, n_ = (next(f"_{name}{k}" for k in range(len(taken) + 1) if f"_{name}{k}".lower() not in taken) for name in ("found", "new", "out", "n"))
+    text = F.col(f"`{text_col}`")
     # Where a text holds no candidate the arrays are not built.
     has = may_hold(text)
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    some = docs.withColumn("_found", found)
-    new = F.transform("_found", lambda v: pseudonym(v, key))
-    some = some.withColumn("_new", F.when(F.size("_found") > 0, new).otherwise(F.array().cast("array<string>")))
+    some = docs.withColumn(found_, found)
+    new = F.transform(found_, lambda v: pseudonym(v, key))
+    some = some.withColumn(new_, F.when(F.size(found_) > 0, new).otherwise(F.array().cast("array<string>")))
     parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("_new"), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda s: s["_found"] != s["_new"]))
-    return some.withColumn("_out", F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("_n", F.when(text.isNotNull(), changed).otherwise(0).cast("long")).drop(out_col, count_col, "_found", "_new").withColumnsRenamed({"_out": out_col, "_n": count_col})
+    joined = F.array_join(F.flatten(F.zip_with(parts, F.col(new_), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with(found_, new_, lambda a, b: a != b), lambda x: x))
+    some = some.withColumn(out_, F.when(F.size(found_) > 0, joined).otherwise(text)).withColumn(n_, F.when(text.isNotNull(), changed).otherwise(0).cast("long"))
+    return some.drop(out_col, count_col, found_, new_).withColumnsRenamed({out_: out_col, n_: count_col})
