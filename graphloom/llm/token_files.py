@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(raws), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(sizes), tokens], names=[id_col, "file", "local_start", "n_tokens", "tokens"])
                 start += int(offsets[-1])
 
-    ranged = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(files, id_col).sortWithinPartitions(id_col)
+    ranged = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(files, id_col).sortWithinPartitions(F.col(id_col), F.xxhash64(text_col), F.col(text_col))
     options = {
         "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#tokens.list.element": "false",
         "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "maxRecordsPerFile": "0",
