@@ -4,15 +4,18 @@ Vectors are scaled to length 1. Equal vectors are one class. Coarse centroids an
 a bounded sample; every class goes into its nearest centroid's list with one code for each subspace. Every class also probes its
 ``probes`` nearest lists: asymmetric table look-ups give the distance of the query to all codes of the list, and whatever could lie
 within the angle, with the list's largest coding error as margin, is confirmed by the exact cosine in double precision.
-Blocks of queries meet blocks of list members, count their links and return a spanning forest of them, never all pairs.
+Blocks of queries meet blocks of list members, count their links and return a spanning forest of them, never all pairs. A pair that only one of the
+two probes for counts at both ends all the same.
 
 Defined cases: null vectors, vectors of length zero or with null or non-finite components link with nothing; equal vectors link with
-each other; vectors of other lengths than most are compared with those of their own length only; no rows give no rows.
+each other; vectors are compared with those of their own length only; rows that repeat an id are vectors of their own, and rows without an id
+have no component; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, keyed, lowest, tidy, written
 
 #: Bounds: vectors that fit centroids and codebooks; lists; members of a list and queries in one block.
 SAMPLE = 16_384
-MAX_LISTS = 1024
+MAX_LISTS = 4096
 LIST_SIZE = 128
 MEMBERS = 4096
 QUERIES = 2048
@@ -61,7 +64,7 @@ class Index:
     """Coarse centroids and residual codebooks of one vector length; at most MAX_LISTS x length + CODES x length numbers."""
 
     def __init__(self, x: np.ndarray, total: int):
-        lists = int(min(MAX_LISTS, max(1, total // LIST_SIZE), len(x)))
+        lists = int(min(MAX_LISTS, max(1, total // LIST_SIZE), max(1, len(x) // 4)))
         self.coarse = kmeans(x, lists)
         rest = x - self.coarse[nearest(x, self.coarse, 1)[:, 0]]
         self.cuts = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
@@ -95,10 +98,12 @@ def _unit(column: list) -> np.ndarray:
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES) -> DataFrame:
     """Per vector: id, n_links (other vectors of at least that cosine), component_id (smallest id reachable), kept (id = component_id)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    # Single-precision vectors travel as such and are compared in double precision.
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("x"))
     usable = F.coalesce(F.size("x") > 0, F.lit(False)) & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("x", lambda v: v != 0), F.lit(False))
-    rows = written(rows.withColumn("ok", usable), "vectors")
-    classes = written(rows.where("ok").groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    rows = written(rows.withColumn("ok", usable & F.col("id").isNotNull()), "vectors")
+    classes = written(keyed(rows.where("ok"), ["x"]).select("x", F.col("key").alias("rep"), F.col("m").alias("n"), F.col("rep").alias("first")), "classes")
     found, links = [], []
     # The most frequent lengths have an index each; all others are compared without one, in a single pass.
     frequent = sorted(classes.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect())
@@ -114,16 +119,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         f, e = _one_length(own, index, cosine, probes)
         found.append(f)
         links.append(e)
-    if not found:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    count, edge = found[0], links[0]
-    for f, e in zip(found[1:], links[1:]):
-        count, edge = count.unionByName(f), edge.unionByName(e)
-    comp = components(edge)
-    per_class = classes.join(count, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left").select("x", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "rep").alias("root"))
-    good = rows.where("ok").join(per_class, "x").select(F.col("id").alias(id_col), "n_links", F.col("root").alias("component_id"))
-    bad = rows.where("NOT ok").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    none = rows.where("NOT ok").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    if found:
+        comp = components(reduce(DataFrame.unionByName, links))
+        per_class = classes.join(reduce(DataFrame.unionByName, found), "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
+        per_class = per_class.select("x", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.col("rep").alias("key"), F.col("first").alias("rep"), F.coalesce("component_id", "rep").alias("root"))
+        good = rows.where("ok").join(lowest(per_class).select("x", "n_links", "root"), "x")
+        none = none.unionByName(good.select(F.col("id").alias(id_col), "n_links", F.col("root").alias("component_id")))
+    return none.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
 def _rare_lengths(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
@@ -175,27 +178,33 @@ def _one_length(classes: DataFrame, index, cosine: float, probes: int) -> tuple[
             near = nearest(x, ix.coarse, probes).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["rep", "n", "x", "near"])
 
-    near = written(classes.select("rep", "n", "x").mapInArrow(assign, "rep long, n long, x array<double>, near array<int>"), "near")
+    near = written(classes.select("rep", "n", "x").mapInArrow(tidy(assign), f"rep long, n long, x {classes.schema['x'].dataType.simpleString()}, near array<int>"), "near")
     sizes = near.groupBy(F.col("near")[0].alias("l")).agg(F.count("*").alias("members"))
     members = near.withColumn("l", F.col("near")[0])
-    asking = near.select("rep", "x", F.explode("near").alias("l"))
+    asking = near.select("rep", "n", "x", F.col("near")[0].alias("home"), F.explode("near").alias("l"))
     asked = asking.groupBy("l").agg(F.count("*").alias("queries"))
     # One row for each list: at most MAX_LISTS.
     plan = written(sizes.join(asked, "l").select("l", F.ceil(F.col("members") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("qb")), "lists")
     block = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
-    m = members.join(F.broadcast(plan), "l").select("l", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), "rep", "n", "x", F.lit(True).alias("member"))
-    q = asking.join(F.broadcast(plan), "l").select("l", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("qb").alias("j"), "rep", F.lit(0).cast("long").alias("n"), "x", F.lit(False).alias("member"))
+    none = F.array().cast("array<int>")
+    m = members.join(F.broadcast(plan), "l").select("l", block("mb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"), "rep", "n", "x", "near", F.lit(-1).alias("home"))
+    q = asking.join(F.broadcast(plan), "l").select("l", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), block("qb").alias("j"), "rep", "n", "x", none.alias("near"), "home")
     reach = np.sqrt(2 - 2 * cosine)
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         ix, which = index.value, int(g["l"].iat[0])
-        mine, ask = g[g["member"]], g[~g["member"]]
+        mine, ask = g[g["home"] < 0], g[g["home"] >= 0]
         if mine.empty or ask.empty:
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
         x, y = _unit(mine["x"].tolist()), _unit(ask["x"].tolist())
-        ids, n, qs = mine["rep"].to_numpy(), mine["n"].to_numpy(), ask["rep"].to_numpy()
+        ids, n, qs, weight = mine["rep"].to_numpy(), mine["n"].to_numpy(), ask["rep"].to_numpy(), ask["n"].to_numpy()
         code, left = ix.codes(x, np.full(len(x), which))
-        total, tree, root = np.zeros(len(qs), np.int64), [], {}
+        total, back, tree, root = np.zeros(len(qs), np.int64), np.zeros(len(ids), np.int64), [], {}
+        # Does a member probe the query's own list? Then it finds the pair there itself; else it is counted here for both.
+        homes, home = np.unique(ask["home"].to_numpy(), return_inverse=True)
+        probed = np.zeros((len(ids), len(homes)), bool)
+        for k, lists in enumerate(mine["near"]):
+            probed[k] = np.isin(homes, lists)
 
         def top(v: int) -> int:
             while root.setdefault(v, v) != v:
@@ -212,15 +221,17 @@ def _one_length(classes: DataFrame, index, cosine: float, probes: int) -> tuple[
                 hit = (np.einsum("ij,ij->i", part[rr], x[cc]) >= cosine) & (qs[lo + rr] != ids[cc])
                 rr, cc = rr[hit], cc[hit]
                 np.add.at(total, lo + rr, n[cc])
+                alone = ~probed[cc, home[lo + rr]]
+                np.add.at(back, cc[alone], weight[lo + rr[alone]])
                 for a, b in zip(qs[lo + rr].tolist(), ids[cc].tolist()):
                     ra, rb = top(a), top(b)
                     if ra != rb:
                         root[max(ra, rb)] = min(ra, rb)
                         tree.append((a, b))
-        some = total > 0
-        out = [(a, b, 0) for a, b in tree] + list(zip(qs[some].tolist(), qs[some].tolist(), total[some].tolist()))
+        out = [(a, b, 0) for a, b in tree]
+        for who, count in ((qs, total), (ids, back)):
+            out += zip(who[count > 0].tolist(), who[count > 0].tolist(), count[count > 0].tolist())
         return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
 
-    # A list that only the query's own probe reaches is counted from that side; links are found again from the other side for its count.
     met = written(m.unionByName(q).groupBy("l", "i", "j").applyInPandas(meet, "a long, b long, links long"), "met")
     return met.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")), met.where("a <> b").select("a", "b")
