@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(docs, spark.conf.get("graphloom.pii.key", DEMO_KEY), out_col="text", count_col="n_pii" if "n_pii" not in docs.columns else "_pii_count")
+    done = pii.pseudonymise(docs, spark.conf.get("graphloom.pii.key", DEMO_KEY), count_col="n_pii" if "n_pii" not in docs.columns else "_pii_count")
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
