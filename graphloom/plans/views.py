@@ -140,7 +140,9 @@ def _values(rows: list[tuple]) -> str:
 
 _ENTRIES = "SELECT entity, type, alias AS label, CASE WHEN type = 'method' THEN alias || 's' ELSE '' END AS more FROM vocab UNION SELECT 'benchmark:' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_'), 'benchmark', o_orderpriority, '' FROM orders UNION SELECT * FROM (VALUES " + _values(LIMITATIONS) + ")"
 _CUES = {k: v.replace("'", "''") for k, v in T.CUES.items()}
-_HIT = "contains(lower({t}), lower(alias)) AND regexp_matches(lower({t}), '(^|[^a-z0-9_])' || lower(alias) || '([^a-z0-9_]|$)')"
+#: Every run of word characters between marks: a term stands whole in a text where its marked form is a part of the text's (terms begin and end with such characters).
+_MARKED = "regexp_replace(lower({x}), '([a-z0-9_]+)', '<\\1>', 'g')"
+_HIT = "contains({t}, la)"
 
 
 def _fired(k: int, kinds: str, cue: str, title: bool) -> str:
@@ -170,27 +172,27 @@ CTE = {
     "ranked": """ranked AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, paper) AS rank, paper, score, n_matched, n_evidence FROM (
       SELECT *, CAST(0 AS DOUBLE) + CAST(0.3 AS DOUBLE) * f_concept + CAST(0.2 AS DOUBLE) * f_method + CAST(0.15 AS DOUBLE) * f_problem + CAST(0.1 AS DOUBLE) * CAST(0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(1 AS DOUBLE) + CAST(0.1 AS DOUBLE) * f_citation + CAST(0.05 AS DOUBLE) * f_temporal AS score FROM scored) QUALIFY rank <= 10)""",
     "rec": "rec AS (SELECT doc_id AS rec_ord, source, split_part(text, chr(10), 1) AS title, lang, n_chars AS size, sha256(text) AS sha, lang || ':' || n_chars AS lenkey, 'title:' || trim(regexp_replace(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) || ':unknown:' || coalesce(lang, '?') AS fbk FROM documents)",
-    "ab": f"""ab AS (SELECT 'paper:o_' || k AS id, k AS paper_ord, {_case(0).replace('STRING', 'VARCHAR')} AS title, {_case(1).replace('STRING', 'VARCHAR')} AS abstract, year, venue, CASE WHEN k % 5 <> 0 THEN [p] END AS authors FROM (
+    "ab": f"""ab AS MATERIALIZED (SELECT 'paper:o_' || k AS id, k AS paper_ord, {_case(0).replace('STRING', 'VARCHAR')} AS title, {_case(1).replace('STRING', 'VARCHAR')} AS abstract, year, venue, CASE WHEN k % 5 <> 0 THEN [p] END AS authors FROM (
       SELECT o_orderkey AS k, o_orderpriority AS p, year(o_orderdate) AS year, o_orderstatus AS venue, split_part(x.p_name, ' ', 2) AS n, split_part(x.p_name, ' ', 1) AS a, lower(x.p_type) AS c, x.p_brand AS b, split_part(y.p_name, ' ', 2) AS m FROM orders
       LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS k1, arg_max(l_partkey, (l_linenumber, l_partkey)) AS k2 FROM lineitem GROUP BY 1) e ON e.l_orderkey = o_orderkey LEFT JOIN part x ON x.p_partkey = k1 LEFT JOIN part y ON y.p_partkey = k2))""",
-    "entry": f"entry AS (SELECT entity, type, label, more, CASE WHEN regexp_matches(entity, '^problem:.*1$') THEN 'DRAFT' ELSE 'APPROVED' END AS status, row_number() OVER (ORDER BY entity, label) AS entry_ord FROM ({_ENTRIES}))",
-    "term": "term AS (SELECT entity, type, label AS alias, 0 AS alias_ord, entry_ord FROM entry WHERE status = 'APPROVED' UNION ALL SELECT entity, type, more, 1, entry_ord FROM entry WHERE status = 'APPROVED' AND more <> '')",
-    "sent": "sent AS (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT id, list_filter(list_transform(string_split(regexp_replace(replace(abstract, chr(10), ' '), '([.!?])[ \\t\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS x FROM ab))",
-    "hit": "hit AS (SELECT id, pos, s, entity, type, alias_ord FROM sent, term WHERE " + _HIT.format(t="s") + ")",
-    "said": "said AS (SELECT id, entity, type, alias_ord, arg_min(s, pos) AS ev, " + ", ".join(f"bool_or(regexp_matches(s, '(?i){v}')) AS c_{k}" for k, v in _CUES.items()) + " FROM hit GROUP BY 1, 2, 3, 4)",
-    "headed": "headed AS (SELECT id, entity, type, alias_ord, title AS ev FROM ab, term WHERE " + _HIT.format(t="title") + ")",
-    "single": "single AS (SELECT t.entity FROM term t JOIN (SELECT lower(alias) AS a, count(DISTINCT entity) AS n FROM term GROUP BY 1) o ON lower(t.alias) = a WHERE alias_ord = 0 AND n <= 1)",
-    "fired": "fired AS (" + " UNION ALL ".join([_fired(0, "'problem', 'concept'", "contribution", True), _fired(1, "'method'", "contribution", True), _fired(2, "'method', 'technique'", "use", False), _fired(3, "'benchmark'", "result", True), _fired(4, "'method'", "compare", False)]) + ")",
-    "ruled": """ruled AS (SELECT id AS source, ['ADDRESSES', 'PROPOSES', 'USES', 'EVALUATES_ON', 'COMPARES_WITH'][r + 1] AS relation, entity AS target, ([0.75, 0.85, 0.70, 0.80, 0.65]::DOUBLE[])[r + 1] AS confidence, 'RULE_DERIVED' AS kind, CASE WHEN nt = 0 THEN 'title' ELSE 'abstract' END AS source_field,
+    "entry": f"entry AS MATERIALIZED (SELECT entity, type, label, more, CASE WHEN regexp_matches(entity, '^problem:.*1$') THEN 'DRAFT' ELSE 'APPROVED' END AS status, row_number() OVER (ORDER BY entity, label) AS entry_ord FROM ({_ENTRIES}))",
+    "term": "term AS MATERIALIZED (SELECT entity, type, label AS alias, " + _MARKED.format(x="label") + " AS la, 0 AS alias_ord, entry_ord FROM entry WHERE status = 'APPROVED' UNION ALL SELECT entity, type, more, " + _MARKED.format(x="more") + ", 1, entry_ord FROM entry WHERE status = 'APPROVED' AND more <> '')",
+    "sent": "sent AS MATERIALIZED (SELECT id, s, " + _MARKED.format(x="s") + " AS ls, pos FROM (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT id, list_filter(list_transform(string_split(regexp_replace(replace(abstract, chr(10), ' '), '([.!?])[ \\t\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS x FROM ab)))",
+    "hit": "hit AS MATERIALIZED (SELECT id, pos, s, entity, type, alias_ord FROM sent, term WHERE " + _HIT.format(t="ls") + ")",
+    "said": "said AS MATERIALIZED (SELECT id, entity, type, alias_ord, arg_min(s, pos) AS ev, " + ", ".join(f"bool_or(regexp_matches(s, '(?i){v}')) AS c_{k}" for k, v in _CUES.items()) + " FROM hit GROUP BY 1, 2, 3, 4)",
+    "headed": "headed AS MATERIALIZED (SELECT id, entity, type, alias_ord, title AS ev FROM (SELECT id, title, " + _MARKED.format(x="title") + " AS lt FROM ab), term WHERE " + _HIT.format(t="lt") + ")",
+    "single": "single AS MATERIALIZED (SELECT t.entity FROM term t JOIN (SELECT lower(alias) AS a, count(DISTINCT entity) AS n FROM term GROUP BY 1) o ON lower(t.alias) = a WHERE alias_ord = 0 AND n <= 1)",
+    "fired": "fired AS MATERIALIZED (" + " UNION ALL ".join([_fired(0, "'problem', 'concept'", "contribution", True), _fired(1, "'method'", "contribution", True), _fired(2, "'method', 'technique'", "use", False), _fired(3, "'benchmark'", "result", True), _fired(4, "'method'", "compare", False)]) + ")",
+    "ruled": """ruled AS MATERIALIZED (SELECT id AS source, ['ADDRESSES', 'PROPOSES', 'USES', 'EVALUATES_ON', 'COMPARES_WITH'][r + 1] AS relation, entity AS target, ([0.75, 0.85, 0.70, 0.80, 0.65]::DOUBLE[])[r + 1] AS confidence, 'RULE_DERIVED' AS kind, CASE WHEN nt = 0 THEN 'title' ELSE 'abstract' END AS source_field,
       ['addresses.exact_alias.v1', 'proposes.title_or_abstract_pattern.v1', 'uses.alias_in_usage_sentence.v1', 'evaluates_on.exact_alias.v1', 'compares_with.alias_in_comparison_sentence.v1'][r + 1] AS rule_id, ev AS evidence, id AS source_paper, CAST(NULL AS VARCHAR) AS attribution, r AS rule_ord
       FROM (SELECT id, entity, r, arg_min(ev, (alias_ord, nt)) AS ev, arg_min(nt, (alias_ord, nt)) AS nt FROM fired GROUP BY 1, 2, 3) WHERE r <> 0 OR entity IN (SELECT entity FROM single))""",
-    "limited": f"""limited AS (SELECT x.source, 'REPORTS_LIMITATION' AS relation, x.target, CAST(0.6 AS DOUBLE) AS confidence, 'RULE_DERIVED' AS kind, 'abstract' AS source_field, 'reports_limitation.method_and_limitation_in_sentence.v1' AS rule_id, ev AS evidence, x.id AS source_paper, CASE WHEN o.source IS NULL THEN 'THIRD_PARTY' ELSE 'SELF_REPORTED' END AS attribution, 5 AS rule_ord
+    "limited": f"""limited AS MATERIALIZED (SELECT x.source, 'REPORTS_LIMITATION' AS relation, x.target, CAST(0.6 AS DOUBLE) AS confidence, 'RULE_DERIVED' AS kind, 'abstract' AS source_field, 'reports_limitation.method_and_limitation_in_sentence.v1' AS rule_id, ev AS evidence, x.id AS source_paper, CASE WHEN o.source IS NULL THEN 'THIRD_PARTY' ELSE 'SELF_REPORTED' END AS attribution, 5 AS rule_ord
       FROM (SELECT l.id, m.entity AS source, l.entity AS target, arg_min(l.s, l.pos) AS ev FROM hit l JOIN hit m ON l.id = m.id AND l.pos = m.pos WHERE l.type = 'limitation' AND l.alias_ord = 0 AND m.type = 'method' AND regexp_matches(l.s, '(?i){_CUES["limitation"]}') GROUP BY 1, 2, 3) x
       LEFT JOIN (SELECT source, target FROM ruled WHERE relation = 'PROPOSES') o ON o.source = x.id AND o.target = x.source)""",
-    "prov": """prov AS (SELECT e.*, CASE WHEN e.rule_ord < 0 THEN 0 ELSE 1 END AS phase, a.paper_ord, CASE WHEN e.rule_ord < 0 THEN 0 ELSE coalesce(f.entry_ord, -1) END AS first_ord, CASE WHEN e.relation = 'REPORTS_LIMITATION' THEN g.entry_ord ELSE -1 END AS second_ord FROM (
+    "prov": """prov AS MATERIALIZED (SELECT e.*, CASE WHEN e.rule_ord < 0 THEN 0 ELSE 1 END AS phase, a.paper_ord, CASE WHEN e.rule_ord < 0 THEN 0 ELSE coalesce(f.entry_ord, -1) END AS first_ord, CASE WHEN e.relation = 'REPORTS_LIMITATION' THEN g.entry_ord ELSE -1 END AS second_ord FROM (
       SELECT * FROM ruled UNION ALL SELECT * FROM limited UNION ALL SELECT a, 'CITES', b, CAST(0.95 AS DOUBLE), 'EXPLICIT_METADATA', 'references', NULL, b, a, NULL, -1 FROM cites) e
       JOIN ab a ON a.id = e.source_paper LEFT JOIN (SELECT entity, entry_ord FROM entry WHERE status = 'APPROVED') f ON f.entity = e.target LEFT JOIN (SELECT entity, entry_ord FROM entry WHERE status = 'APPROVED') g ON g.entity = e.source)""",
-    "kedge": """kedge AS (SELECT printf('edge_%04d', row_number() OVER (ORDER BY phase, paper_ord, rule_ord, first_ord, second_ord, source, target)) AS edge_id, * EXCLUDE (phase, paper_ord, rule_ord, first_ord, second_ord) FROM (
+    "kedge": """kedge AS MATERIALIZED (SELECT printf('edge_%04d', row_number() OVER (ORDER BY phase, paper_ord, rule_ord, first_ord, second_ord, source, target)) AS edge_id, * EXCLUDE (phase, paper_ord, rule_ord, first_ord, second_ord) FROM (
       SELECT *, count(*) OVER (PARTITION BY source, relation, target) - 1 AS corroborating FROM prov QUALIFY row_number() OVER (PARTITION BY source, relation, target ORDER BY phase, paper_ord, rule_ord, first_ord, second_ord, source, target) = 1))""",
 }
 
