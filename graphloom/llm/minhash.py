@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     copied = written(copied.where("id IS NOT NULL").distinct(), "copied")
     flagged = among(whole, "id", copied, "maybe").where("n > 0 AND id IS NOT NULL")
     alone, maybe = flagged.where("NOT maybe"), flagged.where("maybe")
-    chosen = maybe.join(classes.select("n", "fp", "rep", "key"), ["n", "fp"]).dropDuplicates(["n", "fp"])
+    # Only rows of a class's smallest id are joined, so that copies do not meet in one task.
+    chosen = maybe.join(classes.select(F.col("rep").alias("id"), "n", "fp", "key"), ["id", "n", "fp"]).withColumn("rep", F.col("id")).dropDuplicates(["key"])
     columns = ("key", "rep", "fp", "n", "t", "sketch")
     reps = written(alone.select(F.col("id").alias("key"), F.col("id").alias("rep"), "fp", "n", "t", "sketch").unionByName(chosen.select(*columns)), "reps")
     for table in (whole, copied):  # of other rows only the digest is needed from here on
