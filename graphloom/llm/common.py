@@ -82,5 +82,8 @@ def keyed(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def lowest(placed: DataFrame) -> DataFrame:
     """placed (key, rep, root and others) with the smallest rep of each root in its place; that is the root but where some key is a number of its own."""
+    placed = written(placed, "placed")
     own = placed.groupBy("root").agg(F.min("rep").alias("low"), F.bool_or(F.col("key") != F.col("rep")).alias("odd")).where("odd").select("root", "low")
+    if own.isEmpty():  # no id has several values, and no rows need to meet by their root
+        return placed
     return placed.join(own, "root", "left").withColumn("root", F.coalesce("low", "root")).drop("low")
