@@ -92,7 +92,7 @@ def test_greedy_matching_is_one_to_one(spark):
 
 
 def test_openalex_and_atom(spark, tmp_path):
-    (tmp_path / "w.json").write_text('{"results": [{"id": "https://x/W1", "doi": "https://doi.org/10.48550/arXiv.2101.1", "title": "t", "publication_year": 2021, "referenced_works": ["a", "b"], "authorships": [{"author": {"display_name": "A B"}}], "abstract_inverted_index": {"b": [1], "a": [0, 2]}}]}')
+    (tmp_path / "w.json").write_text('{"results": [{"id": "https://openalex.org/W1", "doi": "https://doi.org/10.48550/arXiv.2101.1", "title": "t", "publication_year": 2021, "referenced_works": ["a", "b"], "authorships": [{"author": {"display_name": "A B"}}], "abstract_inverted_index": {"b": [1], "a": [0, 2]}}]}')
     r = records.read_openalex(spark, str(tmp_path / "w.json")).first()
     assert (r["source_id"], r["abstract"], r["arxiv_id"], r["reference_count"]) == ("W1", "a b a", "2101.1", 2)
     (tmp_path / "f.atom").write_text('<feed><entry><id>http://arxiv.org/abs/2101.00001v2</id><title>A\n  b</title><summary> s </summary><published>2021-01-02T00:00:00Z</published><author><name>X Y</name></author></entry></feed>')

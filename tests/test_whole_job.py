@@ -85,11 +85,11 @@ def test_limitations_of_all_lines(spark):
 
 
 def test_limitation_edges_need_label_method_and_cue(spark):
-    texts = ["We propose a ring. The ring fails under noise.", "However, the loop fails in Noise.", "A ring meets noise.", "The ring fails. Noise is a challenge.", "A ring fails under static.", None]
+    texts = ["We propose a ring. The ring is limited under noise.", "However, the loop is limited in Noise.", "A ring meets noise.", "The ring is limited. Noise is a challenge.", "A ring is limited under static.", None]
     papers = spark.createDataFrame([(f"p{i}", "x", t) for i, t in enumerate(texts)], "id string, title string, abstract string")
     vocab = [("method:ring", "method", "ring", 1), ("method:ring", "method", "loop", 2), ("limitation:noise", "limitation", "noise", 1), ("limitation:noise", "limitation", "static", 2)]
     rows = rules.limitation_edges(papers, spark.createDataFrame(vocab, "entity string, type string, alias string, alias_ord int"), T.CUES).collect()
-    assert {(r["source_paper"], r["source"], r["target"], r["attribution"], r["fragment"]) for r in rows} == {
-        ("p0", "method:ring", "limitation:noise", "SELF_REPORTED", "The ring fails under noise."), ("p1", "method:ring", "limitation:noise", "THIRD_PARTY", "However, the loop fails in Noise."),
+    assert {(r["source_paper"], r["source"], r["target"], r["attribution"], r["evidence"]) for r in rows} == {
+        ("p0", "method:ring", "limitation:noise", "SELF_REPORTED", "The ring is limited under noise."), ("p1", "method:ring", "limitation:noise", "THIRD_PARTY", "However, the loop is limited in Noise."),
     }
     assert len(rows) == 2
