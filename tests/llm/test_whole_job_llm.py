@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from graphloom.llm import pii, product_quantisation
+from graphloom.llm import pii, product_quantisation, quality
 
 
 def test_vectors_of_rare_lengths_and_sizes(spark, monkeypatch):
@@ -34,3 +35,35 @@ def test_secrets_of_any_length(spark):
     for n, s in secrets.items():
         assert len(got[n]) == len(f'set token = "{s}" here') and s not in got[n]
         assert got[n].startswith('set token = "') and got[n].endswith('" here')
+
+
+def test_quality_learns_from_every_row_and_pair(spark):
+    r = np.random.default_rng(3)
+    x = r.random((9000, len(quality.NAMES)))
+    y = np.where(x[:, 0] + 0.3 * r.standard_normal(9000) > 0.7, 1, 0)
+    y[::50] = 2
+    taught = spark.createDataFrame([(f, int(k)) for f, k in zip(x.tolist(), y)], "f array<double>, y int").repartition(5).cache()
+    # Every row counts in the moments, whatever its label.
+    model = quality.fit(taught)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-6) and np.allclose(model.scale, x.std(0) + 1e-3, atol=1e-6)
+    worth = model.worth(x)
+    assert abs(model.at - np.quantile(worth, np.mean(y == 0), method="midpoint")) < 1e-12 and abs(model.steep - 2 / worth.std()) < 1e-4
+    # The slope is that of all pairs, one by one.
+    few = np.arange(1200)
+    z, good, bad = model.wide(x), few[y[few] == 1], few[y[few] == 0]
+    apart = (z[good][:, None] - z[bad][None]).reshape(-1, z.shape[1])
+    want = -(apart / (1 + np.exp(apart @ model.weights))[:, None]).mean(0)
+    part = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in few], "f array<double>, y int")
+    assert np.abs(quality.slope(part, model) - want).max() < 1e-5
+    assert quality.fit(taught.repartition(3)).weights.tolist() == model.weights.tolist()
+
+
+def test_quality_threshold_is_of_every_row(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcD7#.") for _ in range(r.randint(1, 9))) for _ in range(r.randint(3, 40)))
+    texts = [text() for _ in range(10000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [int(t.count("#") * 7 < len(t) + r.randint(-9, 9)) for t in texts]
+    labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, quality int")
+    got = quality.quality(docs, labels, F.lit(True), threshold=0.3)
+    assert got.where("score < 0.3").count() == kinds.count(0)
