@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm import pii, product_quantisation, quality
+from graphloom.llm import langid, pii, product_quantisation, quality
 
 
 def test_vectors_of_rare_lengths_and_sizes(spark, monkeypatch):
@@ -67,3 +67,23 @@ def test_quality_threshold_is_of_every_row(spark):
     labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, quality int")
     got = quality.quality(docs, labels, F.lit(True), threshold=0.3)
     assert got.where("score < 0.3").count() == kinds.count(0)
+
+
+def test_languages_of_grams_beyond_the_model(spark, monkeypatch):
+    r = random.Random(12)
+    alphabets = {"aa": "abcdefg", "bb": "efghijk", "cc": "abcdhij", "dd": "𐐨𐐩𐐪a"}
+    say = lambda x: " ".join("".join(r.choice(alphabets[x]) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 9)))
+    rows = [(i % 150, say(x), x if i % 3 else None) for i, x in enumerate(list(alphabets) * 40)] + [(900, None, "aa"), (901, "12 !", "aa"), (902, "zzzz xxxx qqqq " * 30, None), (None, say("bb"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    judged = lambda: sorted(((x["doc_id"] or -1, x["text"] or "", x["lang_pred"], x["rejected"], x["score"], x["entropy"] or 0.0) for x in langid.identify(docs, F.lit(True), carry=("text",)).collect()))
+    want = judged()
+    for most in (300, 40, 1):
+        monkeypatch.setattr(langid.fit, "__defaults__", ("text", "lang", most))
+        got = judged()
+        assert [x[:4] for x in got] == [x[:4] for x in want]
+        assert np.allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-4, atol=1e-6)
+
+
+def test_more_than_64_languages(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + 40 * i) * 3 + chr(0x4E01 + 40 * i) * 4, f"l{i:03}") for i in range(90)], "doc_id long, text string, lang string")
+    assert all(x["lang_pred"] == f"l{x['doc_id']:03}" for x in langid.identify(docs, F.lit(True)).collect())
