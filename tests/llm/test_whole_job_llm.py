@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import langid, pii, product_quantisation, quality
 
 
@@ -87,3 +88,17 @@ def test_languages_of_grams_beyond_the_model(spark, monkeypatch):
 def test_more_than_64_languages(spark):
     docs = spark.createDataFrame([(i, chr(0x4E00 + 40 * i) * 3 + chr(0x4E01 + 40 * i) * 4, f"l{i:03}") for i in range(90)], "doc_id long, text string, lang string")
     assert all(x["lang_pred"] == f"l{x['doc_id']:03}" for x in langid.identify(docs, F.lit(True)).collect())
+
+
+def test_pipeline_keeps_the_same_documents_of_a_model_beyond_its_size(spark, monkeypatch):
+    r = random.Random(13)
+    alphabets = {"aa": "abcdefgh", "bb": "ijklmnop"}
+    say = lambda x: " ".join("".join(r.choice(alphabets[x]) for _ in range(r.randint(2, 6))) for _ in range(40))
+    rows = [(k, say(x), x, "src", k * 3) for k, x in enumerate(["aa", "bb"] * 30)] + [(70, "zqzq xwxw " * 40, None, "odd", 1), (71, None, "aa", "odd", 2), (72, "12 !", None, "odd", 3), (None, say("aa"), "aa", "odd", 4), (3, say("bb"), "bb", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, score long").repartition(3)
+    kept = lambda: sorted(map(repr, map(tuple, corpus_pipeline.language_id(spark, docs, "").collect())))
+    want = kept()
+    assert want == sorted(repr(x) for x in rows if x[0] is not None and x[3] != "odd")
+    for most in (200, 1):
+        monkeypatch.setattr(langid.fit, "__defaults__", ("text", "lang", most))
+        assert kept() == want
