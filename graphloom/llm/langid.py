@@ -12,7 +12,7 @@ chance error of its own length added.
 
 Defined cases: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language that is
 first in the alphabet; without teaching rows every text gets ``und``; repeated rows and rows without an id are scored alike, each for itself; other
-columns are not read. Letters beyond the basic plane share 6400 codes.
+columns are not read. Characters are UTF-16 codes, so a letter beyond the basic plane is two of them and shares them with no other letter.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ MOST = 1 << 23
 CELLS = 1 << 22
 #: Joined values are summed in units of 1 / UNIT, so that their order does not matter.
 UNIT = float(1 << 28)
-#: The private codes that letters beyond the basic plane share.
-PRIVATE, SHARED = 0xE000, 6400
 _FOLD = None
 
 
@@ -55,12 +53,13 @@ def _fold() -> np.ndarray:
 
 def _folded(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
-    if not ((codes & 0xF800) == 0xD800).any():
-        return _fold()[codes]
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = _fold()[np.minimum(points, 65535)]
-    for c in np.unique(points[points > 65535]).tolist():
-        out[points == c] = PRIVATE + ord(chr(c).lower()) * 2654435761 % SHARED if chr(c).isalpha() else 32
+    out = _fold()[codes]
+    at = np.flatnonzero((codes[:-1] & 0xFC00 == 0xD800) & (codes[1:] & 0xFC00 == 0xDC00))
+    if len(at):  # letters beyond the basic plane
+        pairs, own = np.unique(codes[at].astype(np.uint32) << 16 | codes[at + 1], return_inverse=True)
+        letter = [chr(0x10000 + ((p >> 16 & 0x3FF) << 10) + (p & 0x3FF)) for p in pairs.tolist()]
+        low = np.array([np.frombuffer(c.lower().encode("utf-16-le"), np.uint16)[:2] if c.isalpha() else (32, 32) for c in letter], np.uint16)
+        out[at], out[at + 1] = low[own, 0], low[own, 1]
     return out
 
 

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+#: Of any length; the possessive loops need no stack.
+EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"'])[A-Za-z0-9/+_.-]{8,}+(?=[\"'])|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\w.])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?!\w)"
@@ -37,7 +38,7 @@ PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join((EMAIL, SECRET, IBAN, f"(?=[0-9+(])(?:{DATE}|{IP}|{NUMBER}|{PHONE})")) + ")"
 #: Without one of these a text holds none of the above; these tests are cheap.
 SOME_DIGITS = r"\d\D{0,3}\d\D{0,3}\d"
-NAMING = r"(?:token|secret|passw|api_?key|access_key) {0,2}[=:]"
+NAMING = r"(?:token|secret|passwd|password|api_?key|access_key) {0,2}[=:]"
 
 
 def may_hold(text: Column) -> Column:
@@ -151,18 +152,21 @@ def _ip(key: str, value: Column) -> Column:
 
 #: Dates of 400 years whose month, day or both are written with one digit: how many there are, and the sides of a square that holds them.
 SHORT_MONTH, SHORT_DAY = 9, 9
-STEPS = 6
+#: Turns that every value is given room for, and the numbers below 400 x 279 that are no day: no walk from a day is longer than these and one.
+STEPS, NO_DAYS = 6, 2303
 
 
 def _first_that(fits, start: Column, turn) -> Column:
-    """``turn`` applied to a long until the result fits: a permutation of a larger set is one of the fitting part. After STEPS turns the value itself stays."""
+    """``turn`` applied to a long that fits until the result fits: a permutation of a larger set is one of the fitting part. Walks beyond STEPS go on to their end."""
 
     def again(s: Column, _: Column) -> Column:
         new = turn(s["v"])
         return _let(new, lambda n: F.struct(F.when(s["done"], s["v"]).otherwise(n).alias("v"), (s["done"] | fits(n)).alias("done")))
 
     begin = F.struct(start.cast("long").alias("v"), F.lit(False).alias("done"))
-    return F.aggregate(F.array(*[F.lit(i) for i in range(STEPS)]), begin, again, lambda s: F.when(s["done"], s["v"]).otherwise(start.cast("long")))
+    some = F.aggregate(F.array(*[F.lit(i) for i in range(STEPS)]), begin, again)
+    rest = lambda s: F.aggregate(F.sequence(F.lit(STEPS), F.lit(NO_DAYS)), s, again, lambda t: t["v"])
+    return _let(some, lambda s: F.when(s["done"], s["v"]).otherwise(rest(s)))
 
 
 def _date(key: str, value: Column) -> Column:

@@ -66,8 +66,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Tasks first join up the edges that they hold (``contracted``). Then minimum labels spread to neighbours and jump to the label of
     their label: about log n rounds for a path of n links. Only labels that have a lesser label of their own are looked up, so a settled
-    component's label is in no join. Each round is written to the shared folder, and the one before is deleted. Null ends are ignored;
-    no edges give no rows.
+    component's label is in no join. What ``max_rounds`` rounds have not settled goes on between the labels, which are fewer than the ids.
+    Each round is written to the shared folder, and the one before is deleted. Null ends are ignored; no edges give no rows.
     """
     both = both_ways(contracted(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))).distinct()
     both = written(both, "edges")
@@ -83,7 +83,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = label.where("l < id").select(F.col("id").alias("l"), F.col("l").alias("j"))
         label = written(label.join(jump, "l", "left").select("id", F.least("l", "j").alias("l")), "labels")
         dropped(hop)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    of = lambda c: label.select(F.col("id").alias(c), F.col("l").alias(f"l{c}"))
+    links = written(both.where("a < b").join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+    up = components(links, max_rounds).withColumnRenamed("id", "l")
+    out = written(label.join(up, "l", "left").select("id", F.coalesce("component_id", "l").alias("component_id")), "labels")
+    for table in (both, label, links, up):
+        dropped(table)
+    return out
 
 
 def bounded_distance(edges: DataFrame, seeds: DataFrame, hops: int = 3, most: int | None = None) -> DataFrame:
