@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import drop_path, dropped, fresh_path, shared_dir, written
 
-__all__ = ["among", "components", "docs_of", "drop_path", "dropped", "fresh_path", "held_out", "keyed", "lowest", "shared_dir", "tidy", "written"]
+__all__ = ["among", "components", "docs_of", "drop_path", "dropped", "fresh_path", "held_out", "keyed", "lowest", "released", "shared_dir", "tidy", "written"]
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -26,15 +26,20 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library than glibc
-                pass
+            released()
 
     return whole
 
 
+def released() -> None:
+    """Give the worker's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 #: Bits of a filter at most (8 MB), and bits for each key below that.
 MOST_BITS, BITS = 1 << 26, 16
 

@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, components, dropped, keyed, lowest, tidy, written
+from .common import among, components, dropped, keyed, lowest, released, tidy, written
 
 K = 128
 #: Members of a list that are compared with each other at once; longer lists are dealt out as pairs of blocks.
 BLOCK = 1000
 #: Lists up to this size are compared together, about so many rows at once.
 SMALL, BIN = 64, 128
+#: Pairs whose sketches are set side by side at once, and cells of a block's matrix of pairs that are judged at once: they bound a worker's memory.
+PAIRS, CELLS = 4000, 250_000
 #: The chance that a similar pair shares fewer sketch values than its floor, and the set size from which the binomial bound holds.
 MISS, TABLE = 1e-8, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -86,10 +88,14 @@ def sketches(docs: DataFrame, words: int, k: int, percent: int, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
-            cut = [s[:k].astype(np.int64) for s in sets]
+            size, digest, cut = [], [], []
+            for text in batch.column(1):
+                own = shingle_hashes(text.as_py(), words)
+                size.append(len(own))
+                digest.append(xxhash.xxh3_128_digest(own))
+                cut.append(own[:k].astype(np.int64))  # a copy, so that the whole set goes
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([floor[min(len(s), TABLE)] for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, cut)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *cut])))],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array([floor[min(n, TABLE)] for n in size], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.cumsum([0, *map(len, cut)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *cut])))],
                 names=["id", "n", "t", "fp", "sketch"],
             )
 
@@ -151,11 +157,12 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            if batch.num_rows:
-                whole, floor = batch.column(4).to_numpy() <= k, batch.column(5).to_numpy()
-                ok = estimate(_matrix(batch.column(2).to_pylist(), k), _matrix(batch.column(3).to_pylist(), k), whole, floor, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for lo in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(lo, PAIRS)
+                whole, floor = part.column(4).to_numpy() <= k, part.column(5).to_numpy()
+                a, b = ([x.values.to_numpy() for x in part.column(i)] for i in (2, 3))
+                ok = estimate(_matrix(a, k), _matrix(b, k), whole, floor, percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     good = written(sized.select("a", "b", "s_a", "s_b", F.greatest("n_a", "n_b"), F.greatest("t_a", "t_b")).mapInArrow(tidy(run), "a long, b long"), "pairs")
@@ -181,6 +188,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
     return links
 
 
+def compared(g: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """Pairs (a, b) of one pair of blocks (v, p, q, x, id, c, n, t, sketch, keys) in different components whose sketches let them be similar, and that belong to this list.
+
+    The pairs are judged by strips of rows and by PAIRS, so that a block of copies takes no more memory than the matrix of its common values.
+    """
+    g = g.drop_duplicates("id").reset_index(drop=True)
+    c, x, n, t, ids = (g[name].to_numpy() for name in ("c", "x", "n", "t", "id"))
+    if (c == c[0]).all():
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    # Values that two sketches share, by products of 0/1 matrices over the values that occur twice in the block.
+    m = _matrix(g["sketch"].tolist(), k)
+    row, col = np.nonzero(m != np.uint64(2**64 - 1))
+    _, value, count = np.unique(m[row, col], return_inverse=True, return_counts=True)
+    often = count[value] > 1
+    row, value = row[often], np.unique(value[often], return_inverse=True)[1]
+    common = np.zeros((len(g), len(g)), np.float32)
+    for lo in range(0, int(value.max(initial=-1)) + 1, 1024):
+        mine = (value >= lo) & (value < lo + 1024)
+        held = np.zeros((len(g), 1024), np.float32)
+        held[row[mine], value[mine] - lo] = 1
+        strip = max(1, CELLS // len(g))
+        for at in range(0, len(g), strip):
+            common[at : at + strip] += held[at : at + strip] @ held.T
+    keys = _matrix(g["keys"].tolist(), max(map(len, g["keys"])))
+    here = np.array([g["v"].iat[0]], np.int64).astype(np.uint64)[0]
+    same, strip, out = g["p"].iat[0] == g["q"].iat[0], max(1, CELLS // len(g)), []
+    for at in range(0, len(g), strip):
+        own = slice(at, at + strip)
+        wanted = c[own, None] != c[None, :]
+        wanted &= np.arange(len(g))[own, None] < np.arange(len(g))[None, :] if same else x[own, None] < x[None, :]
+        wanted &= 100 * np.minimum(n[own, None], n[None, :]) >= percent * np.maximum(n[own, None], n[None, :])
+        i, j = np.nonzero(wanted & (common[own] >= np.maximum(t[own, None], t[None, :])))
+        i += at
+        for lo in range(0, len(i), PAIRS):
+            y, z = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            mine = _first_common(keys[y], keys[z]) == here  # a pair that meets in several lists belongs to the first of them
+            y, z = y[mine], z[mine]
+            good = estimate(m[y], m[z], np.maximum(n[y], n[z]) <= k, np.maximum(t[y], t[z]), percent)
+            out.append((ids[y[good]], ids[z[good]]))
+    a, b = (np.concatenate([np.empty(0, np.int64), *(pair[e] for pair in out)]) for e in (0, 1))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = K, star_rounds: int = 2) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (is its component's smallest)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -234,38 +284,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     dealt = dealt.join(some, "id")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates("id").reset_index(drop=True)
-        c, x, n, t, ids = (g[name].to_numpy() for name in ("c", "x", "n", "t", "id"))
-        wanted = c[:, None] != c[None, :]
-        if not wanted.any():
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        wanted &= np.triu(np.ones_like(wanted), 1) if g["p"].iat[0] == g["q"].iat[0] else (x[:, None] < x[None, :])
-        large = np.maximum(n[:, None], n[None, :])
-        wanted &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * large
-        # Values that two sketches share, by products of 0/1 matrices over the values that occur twice in the block.
-        m = _matrix(g["sketch"].tolist(), k)
-        row, col = np.nonzero(m != np.uint64(2**64 - 1))
-        _, value, count = np.unique(m[row, col], return_inverse=True, return_counts=True)
-        often = count[value] > 1
-        row, value = row[often], np.unique(value[often], return_inverse=True)[1]
-        common = np.zeros((len(g), len(g)), np.float32)
-        for lo in range(0, int(value.max(initial=-1)) + 1, 4096):
-            mine = (value >= lo) & (value < lo + 4096)
-            held = np.zeros((len(g), 4096), np.float32)
-            held[row[mine], value[mine] - lo] = 1
-            common += held @ held.T
-        floor = np.maximum(t[:, None], t[None, :])
-        i, j = np.nonzero(wanted & (common >= floor))
-        # A pair that meets in several lists belongs to the first of them.
-        held = _matrix(g["keys"].tolist(), max(map(len, g["keys"])))
-        here = np.array([g["v"].iat[0]], np.int64).astype(np.uint64)[0]
-        mine = [_first_common(held[i[lo : lo + 20_000]], held[j[lo : lo + 20_000]]) == here for lo in range(0, len(i), 20_000)]
-        mine = np.concatenate(mine) if mine else np.empty(0, bool)
-        i, j = i[mine], j[mine]
-        good = [estimate(m[y], m[z], large[y, z] <= k, floor[y, z], percent) for y, z in ((i[lo : lo + 20_000], j[lo : lo + 20_000]) for lo in range(0, len(i), 20_000))]
-        good = np.concatenate(good) if good else np.empty(0, bool)
-        a, b = ids[i[good]], ids[j[good]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
+        out = compared(g, k, percent)
+        if len(g) > BLOCK:  # small blocks leave little behind
+            released()
+        return out
 
     rest = written(dealt.groupBy("v", "p", "q").applyInPandas(compare, "a long, b long"), "pairs")
     dropped(some)

@@ -1,7 +1,10 @@
 """Near-duplicates of texts against all pairs."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.llm import common, minhash
@@ -62,3 +65,25 @@ def test_filter_lets_all_keys_pass(spark, monkeypatch):
     assert common.among(rows, "k", keys.limit(0)).count() == 0
     monkeypatch.setattr(common, "MOST_BITS", 1 << 15)
     assert want <= {r["k"] for r in common.among(rows, "k", spark.range(100000).select("id")).collect()}
+
+
+def test_a_block_of_near_copies_takes_bounded_memory():
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 2**62, 400))
+    sets = [np.unique(np.concatenate([base[r.random(400) < 0.95], r.integers(0, 2**62, 20)]))[:128] for _ in range(400)]
+    # All meet in the list of the first common value, each in a component of its own.
+    v = int(base[0])
+    rows = {"v": v, "p": 0, "q": 0, "x": 0, "id": np.arange(400), "c": np.arange(400), "n": 400, "t": 70, "sketch": sets, "keys": [np.unique(np.append(s[:40], v)) for s in sets]}
+    tracemalloc.start()
+    found = minhash.compared(pd.DataFrame(rows), 128, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = set()
+    for a in range(400):
+        for b in range(a + 1, 400):
+            union = np.unique(np.concatenate([sets[a], sets[b]]))[:128]
+            first = np.intersect1d(rows["keys"][a], rows["keys"][b])[0]
+            if first == v and len(np.intersect1d(np.intersect1d(sets[a], sets[b]), union)) >= 70:
+                want.add((a, b))
+    assert want and set(map(tuple, found.values.tolist())) == want
+    assert peak < 100e6  # 181 MB when 20,000 pairs were set side by side
