@@ -4,7 +4,7 @@ Every string of ``least`` bytes is assigned to one anchor: the leftmost least ha
 strings have equal anchors at equal offsets, so all strings that could repeat meet in the group of an anchor's hash.
 A document's anchor record holds the region of all strings that chose it, long enough that longer strings (``length`` bytes) that start there lie in it
 whole. Regions that are equal as a whole repeat throughout; of groups with different regions, each distinct region's bytes are fetched once and a
-difference-cover suffix array (triples at two of three offsets are named and sorted, the names are sorted by recursion, the remaining suffixes are
+difference-cover suffix array, over the starts whose part (see below) has common bytes that stand in another of these regions too (triples at two of three offsets are named and sorted, the names are sorted by recursion, the remaining suffixes are
 merged) puts equal strings side by side, where adjacent prefixes of both lengths are compared. Groups with very many
 different regions are dealt over all tasks instead: their starts are cut into ever smaller parts by their place relative to the anchor. A part whose common bytes stand
 nowhere else is dropped, one whose bytes all stand elsewhere too is marked as a whole (both by 128-bit digests), and only the others, with one of each kind of marked part, are cut further. Each start of a string
@@ -35,6 +35,8 @@ SEED = 32
 #: Distinct regions of one anchor that a suffix array takes; those of larger groups are cut into parts of so many starts, one width after the other.
 HOT = 1500
 WIDTHS = (64, 16, 4, 1)
+#: Starts of one part ahead of the suffix arrays.
+PART = 32
 #: Bytes that one suffix array covers, but for its last group.
 CHUNK = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +87,24 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & np.uint64((1 << 28) - 1)).astype(np.int64)
 
 
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of key's values (0 and above) in order, equal ones by place, and these values; in one sort of single words where both fit into them."""
+    bits = len(key).bit_length()
+    if int(key.max()) < 1 << 63 - bits:
+        packed = np.sort(key << bits | np.arange(len(key)))
+        return packed & ((1 << bits) - 1), packed >> bits
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
+
+
+def _named(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of key's values in order, and the number of each place's value among the distinct ones."""
+    order, ranked = _ordered(key)
+    name = np.empty(len(key), np.int64)
+    name[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+    return order, name
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of s (values above 0) in order, by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -94,15 +114,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with n % 3 == 1 an empty suffix closes the ones
     both = np.concatenate([one, two])
     top = int(t.max()) + 1
-    if top < 1 << 21:
-        _, name = np.unique((t[both] * top + t[both + 1]) * top + t[both + 2], return_inverse=True)
+    if top**3 < 1 << 63 - n.bit_length():
+        order, name = _named((t[both] * top + t[both + 1]) * top + t[both + 2])
     else:
-        _, pair = np.unique(t[both] * top + t[both + 1], return_inverse=True)
-        _, name = np.unique(pair * top + t[both + 2], return_inverse=True)
+        _, pair = _named(t[both] * top + t[both + 1])
+        order, name = _named(pair * top + t[both + 2])
     if name.max() + 1 < len(both):
         order = suffix_array(name + 1)
-    else:
-        order = np.argsort(name, kind="stable")
     sa12 = both[order]
     rank = np.zeros(n + 5, np.int64)
     rank[sa12] = np.arange(1, len(sa12) + 1)
@@ -110,11 +128,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     zero = np.arange(0, n, 3)
     wide = len(both) + 2
     key0 = t[zero] * wide + rank[zero + 1]
-    by = np.argsort(key0, kind="stable")
-    zero, key0 = zero[by], key0[by]
+    by, key0 = _ordered(key0)
+    zero = zero[by]
     ones, twos = sa12[sa12 % 3 == 1], sa12[sa12 % 3 == 2]
     less = np.searchsorted(t[ones] * wide + rank[ones + 1], key0)
-    _, pair = np.unique(np.concatenate([t[zero] * top + t[zero + 1], t[twos] * top + t[twos + 1]]), return_inverse=True)
+    _, pair = _named(np.concatenate([t[zero] * top + t[zero + 1], t[twos] * top + t[twos + 1]]))
     less += np.searchsorted(pair[len(zero) :] * wide + rank[twos + 2], pair[: len(zero)] * wide + rank[zero + 2])
     out = np.empty(n, np.int64)
     spot = np.arange(len(zero)) + less
@@ -151,6 +169,31 @@ def repeated_starts(regions: list[bytes], starts: list[int], lengths: tuple[int,
     return out
 
 
+def candidates(group: list[tuple], least: int, length: int) -> list[tuple]:
+    """Regions (h, ctx, m, n, spot, s) of one anchor as (h, ctx, m, starts, bytes, first start), cut down to the starts that can have an equal string.
+
+    Equal strings start equally far from their anchors, so they hold the common bytes of one part of starts, and another region holds these at the same distance.
+    """
+    width = max(1, min(PART, least // 2))
+    held: dict[tuple, list[int]] = {}
+    for i, (_, _, _, n, spot, s) in enumerate(group):
+        for j in range((spot - min(n, len(s) - least + 1) + 1) // width, spot // width + 1):
+            last = spot - width * j
+            held.setdefault((j, xxhash.xxh3_64_intdigest(s[last : last - width + 1 + least])), []).append(i)
+    near: dict[int, tuple[int, int]] = {}
+    for (j, _), found in held.items():
+        if len(found) > 1:
+            for i in found:
+                lo, hi = near.get(i, (j, j))
+                near[i] = min(lo, j), max(hi, j)
+    out = []
+    for i, (lo, hi) in near.items():
+        h, ctx, m, n, spot, s = group[i]
+        a, e = max(0, spot - width * (hi + 1) + 1), min(n, len(s) - least + 1, spot - width * lo + 1)
+        out.append((h, ctx, m, e - a, s[a : e - 1 + length], a))
+    return out
+
+
 def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte intervals that the strings at the marked starts cover."""
     at = np.flatnonzero(starts)
@@ -281,29 +324,33 @@ def deduplicate(docs: DataFrame, length: int = 400, least: int = 300, words: int
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size, last = 0, None
+        group: list[tuple] = []
+        size = 0
 
         def settle() -> pa.RecordBatch:
             marks = repeated_starts([r[4] for r in rows], [r[3] for r in rows], lengths)
             out = []
-            for k, (h, ctx, m, _, _) in enumerate(rows):
-                own = [{"a": a, "e": e, "k": n} for n, mark in zip(lengths, marks) for a, e in runs(mark[k], n)] if m == 1 else []
+            for k, (h, ctx, m, _, _, first) in enumerate(rows):
+                own = [{"a": first + a, "e": first + e, "k": n} for n, mark in zip(lengths, marks) for a, e in runs(mark[k], n)] if m == 1 else []
                 if own:
                     out.append((h, ctx, own))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], marks_type)], names=["h", "ctx", "iv"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > CHUNK and row[0] != last:
-                    yield settle()
-                    rows, size = [], 0
-                rows.append(row)
-                size, last = size + len(row[4]), row[0]
+                if group and row[0] != group[0][0]:
+                    rows += (found := candidates(group, least, length))
+                    group, size = [], size + sum(len(r[4]) for r in found)
+                    if size > CHUNK:
+                        yield settle()
+                        rows, size = [], 0
+                group.append(row)
+        rows += candidates(group, least, length)
         if rows:
             yield settle()
 
     marks_schema = "h long, ctx long, iv array<struct<a:int,e:int,k:int>>"
-    some = cut.where(F.col("kinds") <= HOT).select("h", "ctx", "m", "n", "s").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), marks_schema)
+    some = cut.where(F.col("kinds") <= HOT).select("h", "ctx", "m", "n", "spot", "s").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), marks_schema)
 
     many = _hot_marks(cut.where(F.col("kinds") > HOT), lengths)
     marks = whole.unionByName(some) if many is None else whole.unionByName(some).unionByName(many)

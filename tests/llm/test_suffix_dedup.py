@@ -67,3 +67,20 @@ def test_very_long_and_empty(spark):
     got = S.deduplicate(spark.createDataFrame([(1, text), (2, "abc")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert (got[0]["n_removed"], got[0]["n_spans"], got[1]["n_removed"]) == (len(text), 1, 0)
     assert S.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_starts_that_can_repeat_go_into_the_suffix_array():
+    r = random.Random(4)
+    say = lambda n: bytes(r.choices(range(97, 123), k=n))
+    seed, shared = say(S.SEED), say(400)
+    # Ten regions share their anchor alone; two share 40 bytes ahead of it and 380 behind it.
+    alone = [(7, k, 1, 60, 60, say(60) + seed + say(400)) for k in range(10)]
+    pair = [(7, k, 1, 60, 60, say(20) + shared[:40] + seed + shared[:380] + say(20)) for k in (10, 11)]
+    found = S.candidates(alone + pair, 300, 400)
+    assert {x[1] for x in found} == {10, 11}
+    for length in (300, 400):
+        whole = S.repeated_starts([x[5] for x in alone + pair], [x[3] for x in alone + pair], (length,))[0]
+        cut = {x[1]: (x[5] + np.flatnonzero(m)).tolist() for x, m in zip(found, S.repeated_starts([x[4] for x in found], [x[3] for x in found], (length,))[0])}
+        assert [np.flatnonzero(m).tolist() for m in whole] == [cut.get(x[1], []) for x in alone + pair]
+        assert cut[10] and cut[10][0] == 20
+    assert sum(len(x[4]) for x in found) < sum(len(x[5]) for x in alone + pair) / 5
