@@ -30,23 +30,38 @@ from .common import fresh_path
 CACHE = 500_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+_MARKS = ".,!?;:"
 _BLANKS = re.compile(r" (?:\s|\Z)")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level models have for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
 class Encoder:
     """The tokenizers library behind a cache of blank-separated chunks.
 
     A cut before a blank never parts a pre-token unless white space stands on both sides of the blank;
-    texts with such blanks go to the library whole.
+    texts with such blanks go to the library whole. Pieces of letters are one pre-token each: where a tokenizer only cuts pre-tokens and
+    maps bytes ahead of its model, the library's model gets them itself.
     """
 
+    to_char = _byte_chars()
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        cut, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        self.direct = isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tokenizer.normalizer is None and all(t.special for t in added)
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
 
@@ -56,9 +71,12 @@ class Encoder:
     @staticmethod
     def _pieces(chunk: str) -> tuple[str, ...]:
         """A chunk behind its blank as pieces that no pre-token spans: letters, closing marks, single line ends; else itself."""
+        core = chunk.rstrip(_MARKS)
+        if core.isalpha():
+            return (" " + chunk,) if core == chunk else (" " + core, chunk[len(core) :])
         out: list[str] = []
         for k, line in enumerate(chunk.split("\n")):
-            core = line.rstrip(".,!?;:")
+            core = line.rstrip(_MARKS)
             if not core.isalpha():
                 return (" " + chunk,)
             if k:
@@ -68,14 +86,25 @@ class Encoder:
                 out.append(line[len(core) :])
         return tuple(out)
 
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces."""
+        out: dict[str, bytes] = {}
+        rest = pieces
+        if self.direct:
+            rest, tokenize, to_char = [], self.model.tokenize, self.to_char
+            for p in pieces:
+                if (p[1:] if p[:1] == " " else p).isalpha():
+                    out[p] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(to_char))]).tobytes()
+                else:
+                    rest.append(p)
+        if rest:
+            out.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return out
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of new chunks; pieces stay in the cache while there is room, and so do chunks without a line end, which may come again."""
         cut = {w: self._pieces(w) for w in chunks}
-        new = list({p for x in cut.values() for p in x}.difference(self.piece))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
-        flat, at, own = array("I", [i for x in ids for i in x]).tobytes(), 0, {}
-        for p, x in zip(new, ids):
-            own[p] = flat[at : (at := at + 4 * len(x))]
+        own = self._encoded(list({p for x in cut.values() for p in x}.difference(self.piece)))
         if len(self.piece) < CACHE:
             self.piece.update(own)
         kept = self.piece.get
@@ -91,7 +120,11 @@ class Encoder:
         if _BLANKS.search(text) and _UNSAFE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        head = self._whole(first)
+        head = self.piece.get(first)
+        if head is None:
+            head = self._encoded([first])[first] if first else b""
+            if len(self.piece) < CACHE and first.isalpha():
+                self.piece[first] = head
         found = [*map(self.cache.get, rest)]
         if None in found:
             made = self._learn({w for w, ids in zip(rest, found) if ids is None})
@@ -151,11 +184,9 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc, n = [], []
-            for tokens in batch.column(3):
-                raw = np.ascontiguousarray(tokens.values.to_numpy(zero_copy_only=False), "<u4")
-                n.append(len(raw))
-                crc.append(zlib.crc32(raw))
+            at = batch.column(3).offsets.to_numpy()
+            flat = memoryview(np.ascontiguousarray(batch.column(3).values.to_numpy(zero_copy_only=False), "<u4"))
+            n, crc = np.diff(at), [zlib.crc32(flat[a:e]) for a, e in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "file", "local_start", "n_tokens", "ids_crc32"])
 
     read = rows.select(id_col, "file", "local_start", "tokens").mapInArrow(run, schema)
