@@ -63,19 +63,30 @@ def select(pool: DataFrame, quotas: DataFrame, target: int, now: int = 2024, ear
     return out.orderBy("canonical_id"), cites
 
 
-def statistics(pool: DataFrame, selected: DataFrame, cites: DataFrame) -> dict[str, DataFrame]:
-    """Tables of a corpus report: totals, years, missing fields, component sizes, seed coverage."""
+def _within(selected: DataFrame, cites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id of every selected paper, citations a, b between them)."""
     own = selected.select(F.col("canonical_id").alias("id"))
-    inner = cites.join(own.select(F.col("id").alias("citing")), "citing", "left_semi").join(own.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("citing").alias("a"), F.col("target").alias("b"))
+    inner = cites.join(own.select(F.col("id").alias("citing")), "citing", "left_semi").join(own.select(F.col("id").alias("target")), "target", "left_semi")
+    return own, inner.select(F.col("citing").alias("a"), F.col("target").alias("b"))
+
+
+def totals(selected: DataFrame, cites: DataFrame) -> DataFrame:
+    """One row: papers, citations between them, papers without any, average degree. Needs no components."""
+    own, inner = _within(selected, cites)
     linked = G.both_ways(inner).select(F.col("a").alias("id")).distinct()
     n = selected.agg(F.count("*").alias("papers")).join(F.broadcast(inner.agg(F.count("*").alias("citation_edges")))).join(F.broadcast(own.join(linked, "id", "left_anti").agg(F.count("*").alias("isolated"))))
-    totals = n.withColumn("average_degree", T.round_half_even(2 * F.col("citation_edges") / F.greatest("papers", F.lit(1)), 3))
+    return n.withColumn("average_degree", T.round_half_even(2 * F.col("citation_edges") / F.greatest("papers", F.lit(1)), 3))
+
+
+def statistics(pool: DataFrame, selected: DataFrame, cites: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a corpus report: totals, years, missing fields, component sizes, seed coverage."""
+    own, inner = _within(selected, cites)
     lost = lambda c: F.count_if(F.size(c) < 1 if c == "authors" else F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias(c)
     components = own.join(G.components(inner), "id", "left").groupBy(F.coalesce("component_id", "id").alias("c")).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
     seeds = lambda d, name: d.select(F.explode("seed_queries").alias("query")).groupBy("query").agg(F.count("*").alias(name))
     coverage = seeds(pool, "candidates").join(seeds(selected, "selected"), "query", "left").fillna(0, ["selected"])
     return {
-        "totals": totals, "years": selected.where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("papers")), "missing": selected.agg(*[lost(c) for c in ("abstract", "year", "authors", "venue", "doi", "arxiv_id", "s2_paper_id")]),
+        "totals": totals(selected, cites), "years": selected.where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("papers")), "missing": selected.agg(*[lost(c) for c in ("abstract", "year", "authors", "venue", "doi", "arxiv_id", "s2_paper_id")]),
         "components": components, "seeds": coverage,
     }
 
