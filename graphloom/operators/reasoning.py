@@ -172,7 +172,7 @@ def claim_sides(edges: DataFrame) -> DataFrame:
 
 
 def limitations(edges: DataFrame) -> DataFrame:
-    """Attributed assertions that a paper reports a method's limitation, from numbered edges with provenance."""
+    """Attributed assertions that a paper reports a method's limitation, from edges with provenance."""
     rows = edges.where("relation = 'REPORTS_LIMITATION'")
     return rows.select(F.col("source").alias("method"), F.col("target").alias("limitation"), F.coalesce("source_paper", F.lit("")).alias("reported_by"), F.coalesce("attribution", F.lit("")).alias("attribution"), "source_field", "rule_id", F.col("evidence").alias("fragment"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,8 +45,14 @@ CITES_CONFIDENCE = 0.95
 #: Columns of an evidence row behind source, relation, target: provenance type, field, rule, decision, evidence, reporting paper, attribution.
 PROVENANCE = ("kind", "source_field", "rule_id", "mapping_decision", "evidence", "source_paper", "attribution")
 
-#: First words of aliases that are read to the driver at most.
+#: First words of aliases that are read to the driver at most; aliases that are sent to every task at most, beyond which they are joined by key.
 FEW = 500
+ALIASES = 100_000
+
+
+def _marked(x: Column) -> Column:
+    """Lower case with every run of word characters between marks: a term that begins and ends with such characters stands whole in a text where its marked form is a part of the text's."""
+    return F.regexp_replace(F.lower(x), "([a-z0-9_]+)", "<$1>")
 
 
 def term_matches(texts: DataFrame, aliases: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,16 +61,23 @@ def term_matches(texts: DataFrame, aliases: DataFrame, text_col: str = "text") -
     The join is on the alias's first word, so it deals out by key instead of pairing every text with every alias; the exact test follows.
     Aliases without a word character are matched against all texts as a small side of their own. Up to FEW different first words
     are read at once, so that a text is only repeated for those it holds; with more, it is repeated for each of its words.
+    Up to ALIASES aliases are sent to every task, as a word that many texts hold would gather these in one task.
     """
     keyed = aliases.withColumn("_k", F.regexp_extract(F.lower("alias"), r"([a-z0-9_]+)", 1))
+    keyed = keyed.withColumn("_w", F.when(F.rlike(F.lower("alias"), F.lit("^[a-z0-9_](?s:.*[a-z0-9_])?$")), _marked(F.col("alias"))))
     found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9_]+"), 0))
-    first = [r[0] for r in keyed.select("_k").where("_k IS NOT NULL").distinct().limit(FEW + 1).collect()]
+    rows = keyed.where("_k IS NOT NULL").groupBy("_k").agg(F.count("*").alias("n")).limit(FEW + 1).collect()
+    first = [r["_k"] for r in rows]
     if len(first) <= FEW:
-        found = F.array_intersect(found, F.array(*map(F.lit, first)).cast("array<string>"))
+        found = F.filter(found, lambda w: w.isin(*first))
+        few = sum(r["n"] for r in rows) <= ALIASES
+    else:
+        few = keyed.limit(ALIASES + 1).count() <= ALIASES
     if len(first) > FEW or "" in first:
         found = F.array_union(found, F.array(F.lit("")))
-    words = texts.withColumn("_k", F.explode(found))
-    return words.join(keyed, "_k").where(T.matches(F.col(text_col), F.col("alias"))).drop("_k")
+    words = texts.withColumns({"_t": _marked(F.col(text_col)), "_f": found}).withColumn("_k", F.explode("_f")).drop("_f")  # told once for each text
+    whole = F.when(F.col("_w").isNotNull(), F.contains("_t", "_w")).otherwise(T.matches(F.col(text_col), F.col("alias")))
+    return words.join(F.broadcast(keyed) if few else keyed, "_k").where(whole).drop("_k", "_t", "_w")
 
 
 def sentence_rows(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -79,31 +92,37 @@ def single_owners(vocabulary: DataFrame) -> DataFrame:
     return label.join(owners, "a").where("n <= 1").select("entity")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows of a vocabulary, sent to every task where they are at most ALIASES."""
+    return F.broadcast(rows) if rows.limit(ALIASES + 1).count() <= ALIASES else rows
+
+
 def rule_edges(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Evidence rows of every rule that fires; papers: id, title, abstract; vocabulary (approved entries): entity, type, alias, alias_ord; also rule_ord.
 
     A rule fires where an alias stands in the title (if titles count) or with the rule's cue in one sentence; the first alias of an
     entity wins, and the evidence is the title or the first sentence with that alias. Titles and sentences are matched once for all rules.
     """
-    titles = term_matches(papers.select("id", F.col("title").alias("text")), vocabulary).select("id", "entity", "type", "alias_ord", F.lit(True).alias("in_title"), F.col("text").alias("evidence"))
-    rows = term_matches(sentence_rows(papers.select("id", F.col("abstract").alias("text"))).withColumnRenamed("sentence", "text"), vocabulary)
-    cued = {c: F.max(F.rlike("text", F.lit("(?i)" + cues[c]))).alias(c) for c in dict.fromkeys(r.cue for r in rules)}
-    said = rows.groupBy("id", "entity", "type", "alias", "alias_ord").agg(F.min_by("text", "pos").alias("evidence"), *cued.values())
-    both = said.select("id", "entity", "type", "alias_ord", F.lit(False).alias("in_title"), "evidence", *cued)
-    both = both.unionByName(titles, allowMissingColumns=True)
-    fires = F.array(*[
-        F.when(F.col("type").isin(*r.types) & (F.col("in_title") if r.title_counts else F.lit(False)) | F.col("type").isin(*r.types) & ~F.col("in_title") & F.coalesce(F.col(r.cue), F.lit(False)), F.lit(k)) for k, r in enumerate(rules)
-    ])
-    hits = both.select("id", "entity", "alias_ord", "in_title", "evidence", F.explode(F.filter(fires, lambda k: k.isNotNull())).alias("rule_ord"))
-    first = hits.groupBy("id", "entity", "rule_ord").agg(F.min_by(F.struct("in_title", "evidence"), F.struct("alias_ord", ~F.col("in_title"))).alias("w"))
+    more = [c for c in ("paper_ord",) if c in papers.columns]
+    texts = F.concat(F.array(F.struct(F.lit(True).alias("in_title"), F.lit(-1).alias("pos"), F.col("title").alias("text"))), F.coalesce(F.transform(T.sentences(F.col("abstract")), lambda s, n: F.struct(F.lit(False).alias("in_title"), n.alias("pos"), s.alias("text"))), F.array()))
+    # Papers are dealt by their id once: all groups below are groups of papers, so their rows stay where they are.
+    rows = papers.select("id", *more, "title", "abstract").repartition("id").select("id", *more, F.inline(texts))
+    # What a rule needs of a text is told once for each text, ahead of its terms: the rules, as bits, whose cue it holds or whose title it is.
+    bit = lambda r, k: F.when(F.col("in_title") if r.title_counts else F.lit(False), 1 << k).when(~F.col("in_title") & F.rlike("text", F.lit("(?i)" + cues[r.cue])), 1 << k).otherwise(0)
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [bit(r, k) for k, r in enumerate(rules)])
+    hits = term_matches(rows.withColumn("bits", bits), vocabulary.where(F.col("type").isin(*{t for r in rules for t in r.types})))
+    said = hits.groupBy("id", *more, "entity", "type", "alias", "alias_ord", "in_title").agg(F.min_by("text", "pos").alias("evidence"), F.bit_or("bits").alias("bits"))
+    fires = F.array(*[F.when(F.col("type").isin(*r.types) & (F.col("bits").bitwiseAND(1 << k) != 0), F.lit(k)) for k, r in enumerate(rules)])
+    hits = said.select("id", *more, "entity", "alias_ord", "in_title", "evidence", F.explode(F.array_compact(fires)).alias("rule_ord"))
+    first = hits.groupBy("id", *more, "entity", "rule_ord").agg(F.min_by(F.struct("in_title", "evidence"), F.struct("alias_ord", ~F.col("in_title"))).alias("w"))
     guarded = [k for k, r in enumerate(rules) if r.one_owner]
     if guarded:
-        first = first.join(single_owners(vocabulary).withColumn("_one", F.lit(True)), "entity", "left").where(~F.col("rule_ord").isin(*guarded) | F.col("_one").isNotNull())
+        first = first.join(_small(single_owners(vocabulary).withColumn("_one", F.lit(True))), "entity", "left").where(~F.col("rule_ord").isin(*guarded) | F.col("_one").isNotNull())
     of = lambda f: F.get(F.array(*[F.lit(f(r)) for r in rules]), F.col("rule_ord"))
     return first.select(
         F.col("id").alias("source"), of(lambda r: r.relation).alias("relation"), F.col("entity").alias("target"), of(lambda r: r.confidence).alias("confidence"), F.lit("RULE_DERIVED").alias("kind"),
         F.when(F.col("w.in_title"), "title").otherwise("abstract").alias("source_field"), of(lambda r: r.rule_id).alias("rule_id"), F.when(F.col("w.in_title"), of(lambda r: r.in_title)).otherwise(of(lambda r: r.in_abstract)).alias("mapping_decision"),
-        F.col("w.evidence").alias("evidence"), F.col("id").alias("source_paper"), F.lit(None).cast("string").alias("attribution"), "rule_ord",
+        F.col("w.evidence").alias("evidence"), F.col("id").alias("source_paper"), F.lit(None).cast("string").alias("attribution"), "rule_ord", *more,
     )
 
 
@@ -122,17 +141,24 @@ def limitation_edges(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, s
     """
     label = vocabulary.where("type = 'limitation'").groupBy("entity").agg(F.min_by("alias", F.struct("alias_ord", "alias")).alias("alias"))
     terms = vocabulary.where("type = 'method'").select("entity", "alias", F.lit(True).alias("method")).unionByName(label.select("entity", "alias", F.lit(False).alias("method")))
-    cued = sentence_rows(papers.select("id", F.col("abstract").alias("text"))).withColumnRenamed("sentence", "text").where(F.rlike("text", F.lit("(?i)" + cues["limitation"])))
+    more = [c for c in ("paper_ord",) if c in papers.columns]
+    dealt = papers.select("id", *more, "title", "abstract").repartition("id").select("id", *more, F.col("abstract").alias("text"))  # as in rule_edges
+    cued = sentence_rows(dealt).withColumnRenamed("sentence", "text").where(F.rlike("text", F.lit("(?i)" + cues["limitation"])))
     rows = term_matches(cued, terms)
-    both = rows.where("method").select("id", "pos", "text", F.col("entity").alias("source")).join(rows.where("NOT method").select("id", "pos", F.col("entity").alias("target")), ["id", "pos"])
-    first = both.groupBy("id", "source", "target").agg(F.min_by("text", "pos").alias("evidence"))
+    # A sentence's terms are few: both kinds are gathered for each sentence and paired there.
+    at = rows.groupBy("id", *more, "pos", "text").agg(F.collect_set(F.when(F.col("method"), F.col("entity"))).alias("source"), F.collect_set(F.when(~F.col("method"), F.col("entity"))).alias("target"))
+    both = at.where("size(source) > 0 AND size(target) > 0").withColumn("source", F.explode("source")).withColumn("target", F.explode("target"))
+    first = both.groupBy("id", *more, "source", "target").agg(F.min_by("text", "pos").alias("evidence"))
     if proposals is None:
-        proposals = rule_edges(papers, vocabulary, cues, tuple(r for r in RULES if r.relation == "PROPOSES"))
-    own = proposals.select(F.col("source").alias("id"), F.col("target").alias("source"), F.lit("SELF_REPORTED").alias("own")).distinct()
+        # Only papers that such a sentence stands in are asked.
+        told = papers.where(F.exists(T.sentences(F.col("abstract")), lambda s: F.rlike(s, F.lit("(?i)" + cues["limitation"]))))
+        proposals = rule_edges(told, vocabulary, cues, tuple(r for r in RULES if r.relation == "PROPOSES"))
+    own = proposals.groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("own"))  # one paper's methods
+    told = F.when(F.array_contains("own", F.col("source")), "SELF_REPORTED").otherwise("THIRD_PARTY")  # by whom
     rule, confidence, decision = LIMITATION_RULE
-    return first.join(own, ["id", "source"], "left").select(
+    return first.join(own, "id", "left").select(
         "source", F.lit("REPORTS_LIMITATION").alias("relation"), "target", F.lit(confidence).alias("confidence"), F.lit("RULE_DERIVED").alias("kind"), F.lit("abstract").alias("source_field"), F.lit(rule).alias("rule_id"),
-        F.lit(decision).alias("mapping_decision"), "evidence", F.col("id").alias("source_paper"), F.coalesce("own", F.lit("THIRD_PARTY")).alias("attribution"), F.lit(len(RULES)).alias("rule_ord"),
+        F.lit(decision).alias("mapping_decision"), "evidence", F.col("id").alias("source_paper"), told.alias("attribution"), F.lit(len(RULES)).alias("rule_ord"), *more,
     )
 
 
@@ -154,22 +180,29 @@ def curated_evidence(curated: DataFrame) -> DataFrame:
     )
 
 
-def build_evidence(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str], cites: DataFrame | None = None, curated: DataFrame | None = None) -> DataFrame:
-    """All evidence rows of a knowledge build: citations, rules, limitations, curated edges.
+def build_evidence(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str], cites: DataFrame | None = None, curated: DataFrame | None = None, limits_only: bool = False) -> DataFrame:
+    """All evidence rows of a knowledge build: citations, rules, limitations, curated edges. ``limits_only``: those of limitations (REPORTS_LIMITATION) alone, which need no others.
 
     papers: id, paper_ord, title, abstract; vocabulary (approved entries): entity, type, alias, alias_ord, entry_ord; cites: citing, target, ref_ord, evidence. Build order is
     (phase, paper_ord, rule_ord, first entry, second entry): all citations come first, curated edges last.
     """
-    ruled = rule_edges(papers, vocabulary, cues)
-    parts = [ruled, limitation_edges(papers, vocabulary, cues, ruled.where("relation = 'PROPOSES'"))]
-    if cites is not None:
-        parts.append(citation_evidence(cites))
+    vocabulary = written(vocabulary, "vocabulary")
+    papers = written(papers.select("id", "paper_ord", "title", "abstract"), "papers")
+    if limits_only:
+        parts = [limitation_edges(papers, vocabulary, cues)]
+    else:
+        ruled = written(rule_edges(papers, vocabulary, cues), "ruled")
+        parts = [ruled, limitation_edges(papers, vocabulary, cues, ruled.where("relation = 'PROPOSES'"))]
+    place = papers.select(F.col("id").alias("source_paper"), "paper_ord")
+    made = len(parts)
+    if cites is not None and not limits_only:
+        parts.append(citation_evidence(cites).join(place, "source_paper", "left"))
     if curated is not None:
-        parts.append(curated_evidence(curated))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, parts[0].limit(0).withColumn("ref_ord", F.lit(None).cast("long"))])
-    entry = vocabulary.select("entity", "entry_ord").distinct()
-    placed = rows.join(papers.select(F.col("id").alias("source_paper"), "paper_ord"), "source_paper", "left")
-    limits = F.col("relation") == "REPORTS_LIMITATION"
+        rows = curated_evidence(curated)
+        parts.append((rows.where("relation = 'REPORTS_LIMITATION'") if limits_only else rows).join(place, "source_paper", "left"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*(p.withColumn("ref_ord", F.lit(None).cast("long")) for p in parts[:made]), *parts[made:]])
+    entry = _small(vocabulary.select("entity", "entry_ord").distinct())
+    placed, limits = rows, F.col("relation") == "REPORTS_LIMITATION"
     for name, end in (("first", "target"), ("second", "source")):
         placed = placed.join(entry.select(F.col("entity").alias(end), F.col("entry_ord").alias(f"{name}_ord")), end, "left")
     phase = F.when(F.col("rule_ord") < 0, 0).when(F.col("rule_ord") > len(RULES), 2).otherwise(1)
@@ -180,12 +213,16 @@ def build_evidence(papers: DataFrame, vocabulary: DataFrame, cues: dict[str, str
 ORDER = ("phase", "paper_ord", "rule_ord", "first_ord", "second_ord", "source", "target")
 
 
-def edges_of(evidence: DataFrame, width: int = 4) -> DataFrame:
-    """One edge for each triple, numbered by its first evidence row in build order: edge_id, source, relation, target, confidence, provenance of that row, corroborating (later rows)."""
+def first_rows(evidence: DataFrame) -> DataFrame:
+    """One edge for each triple, without a number: the columns of ``edges_of`` but edge_id, and ``o``, its place in build order."""
     first = F.min_by(F.struct("confidence", *PROVENANCE), F.struct(*ORDER))
     rows = evidence.groupBy("source", "relation", "target").agg(first.alias("p"), F.min(F.struct(*ORDER)).alias("o"), (F.count("*") - 1).alias("corroborating"))
-    rows = rows.select("source", "relation", "target", "p.*", "corroborating", "o")
-    return number(rows, ["o"], width).select("edge_id", "source", "relation", "target", "confidence", *PROVENANCE, "corroborating")
+    return rows.select("source", "relation", "target", "p.*", "corroborating", "o")
+
+
+def edges_of(evidence: DataFrame, width: int = 4) -> DataFrame:
+    """One edge for each triple, numbered by its first evidence row in build order: edge_id, source, relation, target, confidence, provenance of that row, corroborating (later rows)."""
+    return number(first_rows(evidence), ["o"], width).select("edge_id", "source", "relation", "target", "confidence", *PROVENANCE, "corroborating")
 
 
 def accumulate(edges: DataFrame) -> DataFrame:
@@ -199,9 +236,9 @@ def number(edges: DataFrame, order: list[str], width: int = 4) -> DataFrame:
 
     Rows are dealt by ranges of the order; each row's number is its rank in its range and the rows of all ranges before.
     """
-    ranged = edges.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    ranged = written(ranged, "ranges")
+    ranged = edges.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # A running id holds the range and, in its last 33 bits, the row's rank in it: ranges are written in order, so nothing is dealt or sorted again.
+    ranged = written(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranges").withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND((1 << 33) - 1)})
     counts = ranged.groupBy("_p").agg(F.count("*").alias("n"))
     base = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("base"))  # one row for each range
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.join(F.broadcast(base), "_p").withColumn("edge_id", F.format_string(f"edge_%0{width}d", F.col("base") + rank)).drop("_p", "base")
+    return ranged.join(F.broadcast(base), "_p").withColumn("edge_id", F.format_string(f"edge_%0{width}d", F.col("base") + F.col("_r") + 1)).drop("_m", "_p", "_r", "base")

@@ -24,6 +24,12 @@ def issues(df: DataFrame, code: str, location: Column, severity: str = "ERROR")
     return df.select(F.lit(code).alias("code"), location.cast("string").alias("location"), F.lit(severity).alias("severity"))
 
 
+def flagged(df: DataFrame, checks: list[tuple[str, Column, Column]], severity: str = "ERROR") -> DataFrame:
+    """Violations of many checks (code, condition, location) of each row in one pass over df."""
+    one = [F.when(cond, F.struct(F.lit(code).alias("code"), at.cast("string").alias("location"))) for code, cond, at in checks]
+    return df.select(F.inline(F.array_compact(F.array(*one)))).withColumn("severity", F.lit(severity))
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -160,7 +166,7 @@ def provenance_shape(rows: DataFrame) -> DataFrame:
         ("PROV_CURATED_FIELD", "kind = 'MANUALLY_CURATED' AND NOT coalesce(source_field = 'curation_file', false)"), ("PROV_CURATED_EXTRA", "kind = 'MANUALLY_CURATED' AND coalesce(rule_id, '') <> ''"),
         ("PROV_KIND", "NOT coalesce(kind IN ('EXPLICIT_METADATA', 'RULE_DERIVED', 'MANUALLY_CURATED'), false)"),
     ]
-    return union(*[issues(rows.where(cond), code, F.col("row_id")) for code, cond in rules])
+    return flagged(rows, [(code, F.expr(cond), F.col("row_id")) for code, cond in rules])
 
 
 def undeclared_ambiguity(aliases: DataFrame, declared: DataFrame) -> DataFrame:

@@ -143,10 +143,10 @@ _SHAPES = [
     " UNION ALL SELECT 'PROV_CURATED_MISSING', row_id, 'ERROR' FROM y WHERE kind = 'MANUALLY_CURATED' AND (b = '' OR c = '') UNION ALL SELECT 'PROV_CURATED_FIELD', row_id, 'ERROR' FROM y WHERE kind = 'MANUALLY_CURATED' AND coalesce(source_field, '') <> 'curation_file' UNION ALL SELECT 'PROV_CURATED_EXTRA', row_id, 'ERROR' FROM y WHERE kind = 'MANUALLY_CURATED' AND r <> '' UNION ALL SELECT 'PROV_KIND', row_id, 'ERROR' FROM y WHERE coalesce(kind, '') NOT IN ('EXPLICIT_METADATA', 'RULE_DERIVED', 'MANUALLY_CURATED')"
 )
 def provenance_shape_issues(s, d):
-    from .knowledge import knowledge_rows
+    from .knowledge import evidence_rows
 
     none = F.lit(None).cast("string")
-    own = knowledge_rows(s, d).select(F.concat_ws("|", "source", "relation", "target", "source_paper").alias("row_id"), "kind", "source_field", "rule_id", "mapping_decision", "evidence", none.alias("curated_by"), none.alias("curation_ref"))
+    own = evidence_rows(s, d).select(F.concat_ws("|", "source", "relation", "target", "source_paper").alias("row_id"), "kind", "source_field", "rule_id", "mapping_decision", "evidence", none.alias("curated_by"), none.alias("curation_ref"))
     return V.provenance_shape(own.unionByName(s.createDataFrame(_SHAPES, _SHAPE)))
 
 

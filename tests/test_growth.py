@@ -1,7 +1,8 @@
 """What grows with the tables: no needless work, no hot keys, results as before."""
 
-from graphloom.operators import graph
-from graphloom.plans import catalog
+from graphloom.functions import text as T
+from graphloom.operators import graph, reasoning, rules
+from graphloom.plans import catalog, knowledge
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +17,26 @@ def test_totals_need_no_components(spark, monkeypatch):
     customers = orders.groupBy("o_custkey").count()
     assert row["papers"] == orders.count() and row["isolated"] == customers.where("count = 1").count()
     assert row["citation_edges"] == row["papers"] - customers.count() and row["average_degree"] == round(2 * row["citation_edges"] / row["papers"], 3)
+
+
+def test_terms_are_sent_and_dealt_by_papers(spark):
+    """No text is dealt by a word of its own, and rules of one paper meet where the paper is."""
+    papers = spark.createDataFrame([(f"p{i}", "the ring", "We use a ring. The ring is limited by drift.") for i in range(20)], "id string, title string, abstract string")
+    vocab = spark.createDataFrame([("method:ring", "method", "ring", 0), ("limitation:drift", "limitation", "drift", 0), ("technique:c", "technique", "+c+", 0)], "entity string, type string, alias string, alias_ord int")
+    df = rules.rule_edges(papers, vocab, T.CUES)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["relation"], r["evidence"]) for r in df.collect()} == {("PROPOSES", "the ring"), ("USES", "We use a ring.")} and df.count() == 40
+    assert "strategy=broadcast" in plan
+    texts = spark.createDataFrame([(1, "x +c+ y"), (2, "a+c+"), (3, "<ring>"), (4, "ring_s"), (5, "A RING!")], "id int, text string")
+    assert {(r["id"], r["entity"]) for r in rules.term_matches(texts, vocab).collect()} == {(1, "technique:c"), (3, "method:ring"), (5, "method:ring")}
+
+
+def test_limitation_reports_are_not_numbered(spark, monkeypatch):
+    want = {tuple(r) for r in reasoning.limitations(knowledge.edges(spark, SF)).collect()}
+
+    def never(*_):
+        raise AssertionError("edges were numbered")
+
+    monkeypatch.setattr(rules, "number", never)
+    got = [tuple(r) for r in catalog.QUERIES["limitation_reports"](spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want) > 0
