@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 # Fields of bibliographic metadata and of text, statuses of papers.
 METADATA_FIELDS = ("authors", "year", "venue", "identifiers", "references", "citations")
@@ -58,47 +59,83 @@ def version_checks(states: DataFrame, ontology: str, schema: str) -> DataFrame:
 
 def entity_checks(entities: DataFrame, types: DataFrame) -> DataFrame:
     """Repeated, malformed and misprefixed ids, required attributes that say nothing, unknown statuses of papers. Repeated ids are only reported as such."""
-    once = entities.groupBy("id").agg(F.first("type").alias("type"), F.first("attributes").alias("attributes"), F.count("*").alias("n")).where("n = 1")
     prefix = T.entity_type(F.col("id"))
-    good = once.where(prefix.isNotNull())
-    by_prefix = good.join(F.broadcast(types.select(F.col("prefix").alias("p"), F.col("type").alias("of"))), prefix == F.col("p"), "left")
-    needed = good.join(F.broadcast(types.select(F.col("type").alias("t"), "required")), F.col("type") == F.col("t")).select("id", F.explode("required").alias("a"), "attributes")
+    rows = entities.join(F.broadcast(types.select(F.col("prefix").alias("_p"), F.col("type").alias("_of"))), prefix == F.col("_p"), "left").join(F.broadcast(types.select(F.col("type").alias("_t"), "required")), F.col("type") == F.col("_t"), "left")
     wrong = lambda name, allowed: F.col("attributes")[name].isNotNull() & ~F.col("attributes")[name].isin(*allowed)
-    return union(
-        duplicates(entities, ["id"], "ENT_DUP_ID"), issues(once.where(prefix.isNull()), "ENT_ID_FORMAT", F.col("id")), issues(by_prefix.where(~F.col("of").eqNullSafe(F.col("type"))), "ENT_PREFIX_MISMATCH", F.col("id")),
-        issues(needed.where(F.coalesce(F.try_element_at("attributes", F.col("a")), F.lit("")) == ""), "ENT_MISSING_ATTR", F.concat_ws("|", "id", "a")),
-        issues(good.where((F.col("type") == "paper") & wrong("identity_status", IDENTITY_STATUS)), "ENT_BAD_STATUS", F.concat(F.col("id"), F.lit("|identity_status"))),
-        issues(good.where((F.col("type") == "paper") & wrong("metadata_status", METADATA_STATUS)), "ENT_BAD_STATUS", F.concat(F.col("id"), F.lit("|metadata_status"))),
-    )
+    said = lambda code, cond, at: F.when(cond, F.array(F.struct(F.lit(code).alias("code"), at.alias("location"))))
+    good, paper = prefix.isNotNull(), F.col("type") == "paper"
+    lacks = F.filter("required", lambda a: F.coalesce(F.try_element_at("attributes", a), F.lit("")) == "")
+    parts = [
+        said("ENT_ID_FORMAT", ~good, F.col("id")), said("ENT_PREFIX_MISMATCH", good & ~F.col("_of").eqNullSafe(F.col("type")), F.col("id")),
+        F.when(good, F.transform(lacks, lambda a: F.struct(F.lit("ENT_MISSING_ATTR").alias("code"), F.concat_ws("|", "id", a).alias("location")))),
+        said("ENT_BAD_STATUS", good & paper & wrong("identity_status", IDENTITY_STATUS), F.concat(F.col("id"), F.lit("|identity_status"))), said("ENT_BAD_STATUS", good & paper & wrong("metadata_status", METADATA_STATUS), F.concat(F.col("id"), F.lit("|metadata_status"))),
+    ]
+    # Rows are judged where they are; only ids and what is wrong with them meet, to tell repeated ids.
+    judged = rows.select("id", F.flatten(F.array_compact(F.array(*parts))).alias("found"))
+    once = judged.groupBy("id").agg(F.count("*").alias("n"), F.first("found").alias("found"))
+    again = F.array(F.struct(F.lit("ENT_DUP_ID").alias("code"), F.col("id").cast("string").alias("location")))
+    return once.select(F.inline(F.when(F.col("n") > 1, again).otherwise(F.col("found")))).withColumn("severity", F.lit("ERROR"))
+
+
+#: Ends of edges that are sent to every task at most; beyond, they are joined by key.
+ENDS = 100_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(ENDS + 1).count() <= ENDS else rows
+
+
+def _ends(edges: DataFrame, *more: str) -> DataFrame:
+    """The distinct ends of edges (at, id and the columns asked for), so that an end that many edges share is looked up once."""
+    each = F.array(*[F.struct(F.lit(end).alias("at"), F.col(end).alias("id")) for end in ("source", "target")])
+    return edges.select(*more, F.inline(each)).distinct()
 
 
 def unknown_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges with an end that is no entity: ends are looked up once each, by a left join of entity ids."""
-    ids = entities.select(F.col("id").alias("i")).distinct()
-    lost = edges.join(ids, F.col("source") == F.col("i"), "left_anti").select("source", "relation", "target").union(edges.join(ids, F.col("target") == F.col("i"), "left_anti").select("source", "relation", "target"))
-    return issues(lost.distinct(), "EDGE_UNKNOWN_ENDPOINT", triple())
+    """Edges with an end that is no entity: each end is looked up once, and edges are held against those that are lost."""
+    ends = _ends(edges.select("source", "target")).select("id").distinct()
+    lost = written(ends.join(entities.select("id").distinct(), "id", "left_anti"), "lost")
+    rows = edges.select("source", "relation", "target")
+    for end in ("source", "target"):
+        rows = rows.join(_sent(lost.select(F.col("id").alias(end), F.lit(True).alias(f"no_{end}"))), end, "left")
+    # A null end is no entity either.
+    bad = rows.where("no_source OR no_target OR source IS NULL OR target IS NULL")
+    return issues(bad.select("source", "relation", "target").distinct(), "EDGE_UNKNOWN_ENDPOINT", triple())
 
 
 def typed(edges: DataFrame, entities: DataFrame, spec: DataFrame) -> DataFrame:
-    """edges with their relation's spec and the types of their ends as the entity rows have them (st, tt; null for an unknown end)."""
+    """edges with their relation's spec and what is wrong with their ends: lost_source and lost_target (no entity), odd_source and odd_target (of a type that the relation does not take there).
+
+    Each end of a relation is looked up once, and edges are held against the ends that are lost or odd, which a sound table has few of.
+    """
+    spec = F.broadcast(spec)
     kind = entities.groupBy("id").agg(F.min("type").alias("type"))
-    out = edges.join(F.broadcast(spec), "relation", "left")
-    for end, name in (("source", "st"), ("target", "tt")):
-        out = out.join(kind.select(F.col("id").alias(end), F.col("type").alias(name)), end, "left")
-    return out
+    ends = _ends(edges, "relation").join(spec.where("status = 'ACTIVE'").select("relation", "domain", "range"), "relation").join(kind, "id", "left")
+    taken = F.array_contains(F.when(F.col("at") == "source", F.col("domain")).otherwise(F.col("range")), F.col("type"))
+    wrong = written(ends.select("relation", "at", "id", F.col("type").isNull().alias("lost"), (~taken).alias("odd")).where("lost OR odd"), "wrong")
+    out = edges.join(spec, "relation", "left")
+    for end in ("source", "target"):
+        own = wrong.where(F.col("at") == end).select("relation", F.col("id").alias(end), F.col("lost").alias(f"lost_{end}"), F.col("odd").alias(f"odd_{end}"))
+        out = out.join(_sent(own), ["relation", end], "left")
+    said = {f"lost_{end}": F.coalesce(f"lost_{end}", F.col(end).isNull()) for end in ("source", "target")} | {f"odd_{end}": F.coalesce(f"odd_{end}", F.lit(False)) for end in ("source", "target")}
+    return out.withColumns(said)
+
+
+def _edge_flags(at: Column) -> list[tuple[str, Column, Column]]:
+    """Checks of ``typed`` edges on relations and types. A relation that is not stored ends an edge's checks, and so does an unknown end."""
+    active, known = "coalesce(status = 'ACTIVE', false)", "coalesce(status = 'ACTIVE', false) AND NOT lost_source AND NOT lost_target"
+    rules = [("EDGE_RELATION_NOT_STORABLE", f"NOT {active}"), ("EDGE_SELF_LOOP", f"{active} AND source = target"), ("EDGE_DOMAIN", f"{known} AND odd_source"), ("EDGE_RANGE", f"{known} AND odd_target")]
+    return [(code, F.expr(cond), at) for code, cond in rules]
 
 
 def edge_checks(edges: DataFrame, entities: DataFrame, spec: DataFrame) -> DataFrame:
     """All checks of edges as such. A relation that is not stored ends an edge's checks, and so does an unknown end (behind the self-loop)."""
+    edges = written(edges, "checked")
     rows, at = typed(edges, entities, spec), _at(edges)
-    active = rows.where("status = 'ACTIVE'")
-    known = active.where("st IS NOT NULL AND tt IS NOT NULL")
+    known = rows.where("status = 'ACTIVE' AND NOT lost_source AND NOT lost_target")
     mirrored = known.where("mirror_of IS NOT NULL").join(edges.select(F.col("source").alias("ms"), F.col("relation").alias("mr"), F.col("target").alias("mt")), F.expr("mirror_of = mr AND source = mt AND target = ms"), "left_semi")
-    parts = [
-        duplicates(edges, ["source", "relation", "target"], "EDGE_DUP_TRIPLE"), issues(rows.where("status IS NULL OR status <> 'ACTIVE'"), "EDGE_RELATION_NOT_STORABLE", at), issues(active.where("source = target"), "EDGE_SELF_LOOP", at),
-        issues(active.where("st IS NULL OR tt IS NULL"), "EDGE_UNKNOWN_ENDPOINT", at), issues(known.where("NOT array_contains(domain, st)"), "EDGE_DOMAIN", at), issues(known.where("NOT array_contains(range, tt)"), "EDGE_RANGE", at),
-        issues(known.where("symmetric AND source > target"), "EDGE_SYMMETRIC_ORDER", at), issues(mirrored, "EDGE_MIRROR_CONFLICT", at),
-    ]
+    flags = [*_edge_flags(at), ("EDGE_UNKNOWN_ENDPOINT", F.expr("status = 'ACTIVE' AND (lost_source OR lost_target)"), at), ("EDGE_SYMMETRIC_ORDER", F.expr("status = 'ACTIVE' AND NOT lost_source AND NOT lost_target AND symmetric AND source > target"), at)]
+    parts = [flagged(rows, flags), issues(mirrored, "EDGE_MIRROR_CONFLICT", at), duplicates(edges, ["source", "relation", "target"], "EDGE_DUP_TRIPLE")]
     if "edge_id" in edges.columns:
         parts.append(duplicates(edges, ["edge_id"], "EDGE_DUP_ID"))
     return union(*parts)
@@ -106,13 +143,7 @@ def edge_checks(edges: DataFrame, entities: DataFrame, spec: DataFrame) -> DataF
 
 def domain_range(edges: DataFrame, spec: DataFrame, entities: DataFrame) -> DataFrame:
     """The part of ``edge_checks`` on relations and types; ``spec`` may hold relation, domain, range and status alone."""
-    rows = typed(edges, entities, spec)
-    active = rows.where("status = 'ACTIVE'")
-    known = active.where("st IS NOT NULL AND tt IS NOT NULL")
-    return union(
-        issues(rows.where("status IS NULL OR status <> 'ACTIVE'"), "EDGE_RELATION_NOT_STORABLE", triple()), issues(active.where("source = target"), "EDGE_SELF_LOOP", triple()),
-        issues(known.where("NOT array_contains(domain, st)"), "EDGE_DOMAIN", triple()), issues(known.where("NOT array_contains(range, tt)"), "EDGE_RANGE", triple()),
-    )
+    return flagged(typed(edges, entities, spec), _edge_flags(triple()))
 
 
 def symmetric_mirror(edges: DataFrame, symmetric: list[str], mirrors: dict[str, str]) -> DataFrame:
@@ -138,18 +169,20 @@ def attribution(edges: DataFrame) -> DataFrame:
 def provenance_checks(rows: DataFrame, entities: DataFrame, spec: DataFrame, ontology: str, build: str) -> DataFrame:
     """All checks of provenance rows (source, relation, target, kind, source_paper, evidence, attribution, ontology_version, build_version) of edges that
     pass the checks which end an edge's own."""
+    rows = written(rows, "checked")
     at = _at(rows)
-    full = typed(rows, entities, spec).where("status = 'ACTIVE' AND st IS NOT NULL AND tt IS NOT NULL")
+    full = typed(rows, entities, spec).where("status = 'ACTIVE' AND NOT lost_source AND NOT lost_target")
     paper = entities.where("type = 'paper'").select(F.col("id").alias("pid")).distinct()
     proposed = rows.where("relation = 'PROPOSES'").select(F.col("source").alias("pp"), F.col("target").alias("pm")).distinct()
     named = full.where("needs_source AND coalesce(source_paper, '') <> ''").join(paper, F.col("source_paper") == F.col("pid"), "left")
     said = full.where("needs_attribution AND attribution IS NOT NULL AND coalesce(source_paper, '') <> ''").join(proposed, F.expr("source_paper = pp AND source = pm"), "left")
+    flags = [
+        ("EDGE_PROVENANCE_NOT_ALLOWED", F.expr("NOT coalesce(array_contains(allowed, kind), false)")), ("EDGE_PROV_VERSION", ~(F.col("ontology_version").eqNullSafe(F.lit(ontology)) & F.col("build_version").eqNullSafe(F.lit(build)))),
+        ("EDGE_ATTRIBUTION_FORBIDDEN", F.expr("attribution IS NOT NULL AND NOT needs_attribution")), ("EDGE_SOURCE_PAPER_REQUIRED", F.expr("needs_source AND coalesce(source_paper, '') = ''")),
+        ("EDGE_EVIDENCE_REQUIRED", F.expr("needs_evidence AND coalesce(evidence, '') = ''")), ("EDGE_ATTRIBUTION_REQUIRED", F.expr("needs_attribution AND attribution IS NULL")),
+    ]
     return union(
-        issues(full.where("NOT coalesce(array_contains(allowed, kind), false)"), "EDGE_PROVENANCE_NOT_ALLOWED", at),
-        issues(full.where(~(F.col("ontology_version").eqNullSafe(F.lit(ontology)) & F.col("build_version").eqNullSafe(F.lit(build)))), "EDGE_PROV_VERSION", at),
-        issues(full.where("attribution IS NOT NULL AND NOT needs_attribution"), "EDGE_ATTRIBUTION_FORBIDDEN", at), issues(full.where("needs_source AND coalesce(source_paper, '') = ''"), "EDGE_SOURCE_PAPER_REQUIRED", at),
-        issues(named.where("pid IS NULL"), "EDGE_SOURCE_PAPER_INVALID", at), issues(full.where("needs_evidence AND coalesce(evidence, '') = ''"), "EDGE_EVIDENCE_REQUIRED", at),
-        issues(full.where("needs_attribution AND attribution IS NULL"), "EDGE_ATTRIBUTION_REQUIRED", at),
+        flagged(full, [(code, cond, at) for code, cond in flags]), issues(named.where("pid IS NULL"), "EDGE_SOURCE_PAPER_INVALID", at),
         issues(said.where("(attribution = 'SELF_REPORTED' AND pp IS NULL) OR (attribution = 'THIRD_PARTY' AND pp IS NOT NULL)"), "EDGE_ATTRIBUTION_INCONSISTENT", at),
     )
 

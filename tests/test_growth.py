@@ -1,7 +1,7 @@
 """What grows with the tables: no needless work, no hot keys, results as before."""
 
 from graphloom.functions import text as T
-from graphloom.operators import graph, reasoning, rules
+from graphloom.operators import graph, ontology, reasoning, rules, validate
 from graphloom.plans import catalog, knowledge
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,31 @@ def test_limitation_reports_are_not_numbered(spark, monkeypatch):
     monkeypatch.setattr(rules, "number", never)
     got = [tuple(r) for r in catalog.QUERIES["limitation_reports"](spark, SF).collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_an_end_of_many_edges_is_looked_up_once(spark, monkeypatch):
+    """Edges are held against lost and odd ends; no edge is dealt by its target."""
+    edges = spark.range(300).selectExpr("concat('paper:', id) AS source", "'USES' AS relation", "'method:hot' AS target")
+    more = spark.createDataFrame([("paper:none", "USES", "method:hot"), ("paper:1", "USES", "paper:2"), ("paper:1", "ODD", "x"), (None, "USES", "method:hot")], "source string, relation string, target string")
+    entities = spark.range(300).selectExpr("concat('paper:', id) AS id", "'paper' AS type").union(spark.createDataFrame([("method:hot", "method")], "id string, type string"))
+    spec = spark.createDataFrame([("USES", ["paper"], ["method"], "ACTIVE")], "relation string, domain array<string>, range array<string>, status string")
+    rows = edges.union(more)
+    for few in (100_000, 0):
+        monkeypatch.setattr(validate, "ENDS", few)
+        lost = validate.unknown_endpoints(rows, entities)
+        odd = validate.domain_range(rows, spec, entities)
+        assert {r["location"] for r in lost.collect()} == {"paper:none|USES|method:hot", "USES|method:hot", "paper:1|ODD|x"}
+        assert {(r["code"], r["location"]) for r in odd.collect()} == {("EDGE_RANGE", "paper:1|USES|paper:2"), ("EDGE_RELATION_NOT_STORABLE", "paper:1|ODD|x")}
+        if few:
+            for df in (lost, odd):
+                plan = df._jdf.queryExecution().optimizedPlan().toString()
+                assert plan.count("Join") == plan.count("strategy=broadcast") > 0
+
+
+def test_entities_are_judged_in_one_pass(spark):
+    rows = [("paper:a", "paper", {"title": ""}), ("paper:b", "paper", {"title": "t", "identity_status": "MAYBE"}), ("Bad", "paper", {}), ("method:m", "concept", None), ("method:d", "method", None), ("method:d", "method", None)]
+    df = validate.entity_checks(spark.createDataFrame(rows, "id string, type string, attributes map<string,string>"), ontology.entities(spark))
+    got = {(r["code"], r["location"]) for r in df.collect()}
+    assert {("ENT_MISSING_ATTR", "paper:a|title"), ("ENT_BAD_STATUS", "paper:b|identity_status"), ("ENT_ID_FORMAT", "Bad"), ("ENT_PREFIX_MISMATCH", "method:m"), ("ENT_DUP_ID", "method:d")} <= got
+    assert not [x for x in got if x[1].startswith("method:d") and x[0] != "ENT_DUP_ID"]
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
