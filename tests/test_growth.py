@@ -1,8 +1,10 @@
 """What grows with the tables: no needless work, no hot keys, results as before."""
 
+import re
+
 from graphloom.functions import text as T
 from graphloom.operators import graph, ontology, reasoning, rules, validate
-from graphloom.plans import catalog, knowledge
+from graphloom.plans import catalog, knowledge, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +70,22 @@ def test_entities_are_judged_in_one_pass(spark):
     assert {("ENT_MISSING_ATTR", "paper:a|title"), ("ENT_BAD_STATUS", "paper:b|identity_status"), ("ENT_ID_FORMAT", "Bad"), ("ENT_PREFIX_MISMATCH", "method:m"), ("ENT_DUP_ID", "method:d")} <= got
     assert not [x for x in got if x[1].startswith("method:d") and x[0] != "ENT_DUP_ID"]
     assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_are_dealt_by_paper_once(spark):
+    lines = views.line_parts(spark, SF).collect()
+    want = set()
+    for r in lines:
+        adjective, noun = r["p_name"].split(" ")[:2]
+        brand = re.sub("[^a-z0-9]+", "_", r["p_brand"].lower())
+        want |= {(f"paper:o_{r['l_orderkey']}", *x) for x in (("PROPOSES", f"method:{noun}"), ("USES", f"technique:{adjective}"), ("ADDRESSES", f"concept:{r['p_type'].lower()}"), ("ADDRESSES", f"problem:{brand}"))}
+    df = views.edges(spark, SF)
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "collect_set" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and plan.count("collect_set") == 1
+
+
+def test_degrees_read_their_edges_once(spark):
+    df = graph.degrees(spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "b")], "a string, b string"))
+    assert {tuple(r) for r in df.collect()} == {("a", 1), ("b", 4), ("c", 1)}
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
